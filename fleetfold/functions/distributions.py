@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_upper(z: float) -> float:
@@ -84,22 +85,22 @@ def _per_value(function, *series: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_pvalue(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _per_value(f_upper, f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _per_value(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def tukey_pvalue(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return _per_value(lambda a, b, c: studentised_range_upper(a, int(b), c), q, k, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_upper_pvalue(z: pd.Series) -> pd.Series:
     return _per_value(normal_upper, z)
 
@@ -116,7 +117,7 @@ def studentised_range_quantile(p: float, k: int, df: float) -> float:
     return 0.5 * (low + high)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def tukey_critical(k: pd.Series, df: pd.Series) -> pd.Series:
     cache: dict[tuple[int, float], float] = {}
 

@@ -91,7 +91,7 @@ def hours_to_calibrate(channels: Mapping[str, DataFrame]) -> DataFrame:
 # --- regressions --------------------------------------------------------------------------------
 
 
-def _encoded(nominal: Sequence[str], keep_unknown: bool = True) -> tuple[list, list[str]]:
+def encoded(nominal: Sequence[str], keep_unknown: bool = True) -> tuple[list, list[str]]:
     """Index and one-hot stages; the last level is dropped, unseen levels become all zeros."""
     if not nominal:
         return [], []
@@ -109,7 +109,7 @@ def elastic_net_pipeline(
 ) -> tuple[Pipeline, LinearRegression]:
     """Encode, impute medians, standardise, drop constant columns, fit."""
     filled = [f"{c}_filled" for c in numeric]
-    encode, vectors = _encoded(nominal)
+    encode, vectors = encoded(nominal)
     regression = LinearRegression(
         featuresCol="features", labelCol=target, predictionCol="prediction", maxIter=100,
         standardization=False,
@@ -195,7 +195,7 @@ def boosted_pipeline(
 ) -> tuple[Pipeline, GBTRegressor]:
     """Boosted trees; null predictors become medians plus an indicator column."""
     filled = [f"{c}_filled" for c in numeric]
-    encode, vectors = _encoded(nominal)
+    encode, vectors = encoded(nominal)
     regression = GBTRegressor(
         featuresCol="features", labelCol=target, predictionCol="prediction", maxIter=trees,
         seed=seed,
@@ -353,11 +353,30 @@ def _as_mixture(model, columns: Sequence[str]) -> Mixture:
     )
 
 
+def _single_gaussian(vectors: DataFrame, columns: Sequence[str]) -> tuple[Mixture, int]:
+    """Mean and covariance of all rows: the mixture of one component, in one aggregation."""
+    d = len(columns)
+    row = vectors.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[
+            F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}")
+            for i in range(d)
+            for j in range(i, d)
+        ],
+    ).first()
+    covariance = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    mean = np.array([[row[f"m{i}"] for i in range(d)]])
+    return Mixture(tuple(columns), np.array([1.0]), mean, covariance[None, :, :]), row["n"]
+
+
 def fit_mixture(
     df: DataFrame, columns: Sequence[str], k: int, seed: int = 11, max_iter: int = 100
 ) -> Mixture:
     """Mixture over the joint vector of predictors and target, by distributed EM."""
     vectors = cut_lineage(_vectors(df, columns))
+    if k == 1:
+        return _single_gaussian(vectors, columns)[0]
     model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
     return _as_mixture(model, columns)
 
@@ -367,12 +386,17 @@ def mixture_bic_sweep(
 ) -> DataFrame:
     """Bayesian information criterion of mixtures of several sizes."""
     vectors = cut_lineage(_vectors(df, columns))
-    n, d = vectors.count(), len(columns)
+    single, n = _single_gaussian(vectors, columns)
+    d = len(columns)
     rows = []
     for k in sizes:
-        model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
         free = k * (1 + d + d * (d + 1) / 2) - 1
-        log_likelihood = model.summary.logLikelihood
+        if k == 1:
+            _, log_det = np.linalg.slogdet(single.covariances[0])
+            log_likelihood = -0.5 * n * (d * math.log(2 * math.pi) + log_det + d)
+        else:
+            model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
+            log_likelihood = model.summary.logLikelihood
         rows.append((k, float(log_likelihood), float(-2 * log_likelihood + free * math.log(n))))
     return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double")
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def to_long(
     df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str
 ) -> DataFrame:
-    return df.unpivot(list(ids), list(columns), name, value)
+    quoted = [F.col(f"`{c}`") for c in columns]
+    return df.unpivot(list(ids), quoted, name, value)
 
 
 def to_wide(
@@ -49,6 +50,19 @@ def mean_of_numeric(df: DataFrame, keys: Sequence[str], suffix: str = "_mean") -
     )
 
 
+def indicator_columns(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
+    """One 0/1 column per level but the first, aligned to the levels a model was trained on.
+
+    Levels the model does not know get zeros throughout, like the first one.
+    """
+    return df.withColumns(
+        {
+            f"{column}_{level}": F.coalesce((F.col(column) == level).cast("int"), F.lit(0))
+            for level in levels[1:]
+        }
+    )
+
+
 def others_matrix(
     df: DataFrame, monitors: Mapping[str, str], value: str, time: str = "timestamp"
 ) -> DataFrame:

@@ -330,7 +330,8 @@ def nearest_segment(
         .agg(F.min(segment_distance("_px", "_py")).alias("_reach"))
         .withColumn("_reach", F.coalesce("_reach", "_extent"))
     )
-    distance = segment_distance("_px", "_py")
+    # distances that agree to twelve decimals are ties, decided by the attributes in ``keep``
+    distance = F.round(segment_distance("_px", "_py"), 12)
     best = (
         _near(bounds, registered, levels)
         .select(key, distance.alias("distance"), *keep)
