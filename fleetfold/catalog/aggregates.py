@@ -17,6 +17,7 @@ from fleetfold.operators import (
     calibrate,
     completeness,
     impute,
+    merge,
     rollup,
     spatial,
     stats,
@@ -389,7 +390,7 @@ def feed_hours(spark, sf):
             "pm25 IS NOT NULL AND timestamp >= TIMESTAMP_NTZ '2024-01-04'"
         )
     ).withColumn("hour_complete_cloud", completeness.enough("obs_in_hour", 2))
-    return card, cloud, completeness.both_feeds_by_hour(card, cloud)
+    return completeness.both_feeds_by_hour(card, cloud)
 
 
 WEEKS_SQL = f"""
@@ -419,21 +420,15 @@ EITHER_SQL = """CASE WHEN hour_complete_sd = 1 OR hour_complete_cloud = 1 THEN 1
     ),
 )
 def a18(spark, sf):
-    card, cloud, both = feed_hours(spark, sf)
-    start, end = dt.date(2023, 12, 24), dt.date(2024, 2, 4)
-    feeds = {
-        "sd": (card, "hour_complete_sd"),
-        "cloud": (cloud, "hour_complete_cloud"),
-        "either": (completeness.either_feed(both), "hour_complete"),
-    }
-    out = None
-    for feed, (hours, flag) in feeds.items():
-        weeks = completeness.complete_weeks(completeness.complete_days(hours, flag, 6, True))
-        part = completeness.week_calendar(weeks, start, end).select(
-            F.lit(feed).alias("feed"), "monitor", "week", "days_with_data"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    weeks = completeness.complete_weeks_by_feed(feed_hours(spark, sf), 6, True)
+    feeds = F.explode(F.array(*[F.lit(f) for f in ("sd", "cloud", "either")]))
+    calendar = merge.full_calendar(
+        fx.readings(spark, sf), "week", F.lit(dt.date(2023, 12, 24)), F.lit(dt.date(2024, 2, 4)),
+        "7 days",
+    ).select("monitor", "week", feeds.alias("feed"))
+    return merge.on_calendar(
+        weeks, calendar, ["feed", "monitor", "week"], {"days_with_data": 0}
+    )
 
 
 _POSSIBLE = "(27 * 24)"
@@ -475,8 +470,7 @@ _POSSIBLE = "(27 * 24)"
         GROUP BY monitor""",
 )
 def a19(spark, sf):
-    _, _, both = feed_hours(spark, sf)
-    return completeness.feed_summary(both, dt.date(2024, 1, 2), dt.date(2024, 1, 29))
+    return completeness.feed_summary(feed_hours(spark, sf), dt.date(2024, 1, 2), dt.date(2024, 1, 29))
 
 
 HOUR_GRID_SQL = """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -14,6 +13,7 @@ from fleetfold.functions.columns import inverse_linear, null_below, usable_slope
 from fleetfold.operators.merge import restrict_to
 from fleetfold.operators.ordering import attach, first_per_key
 from fleetfold.operators.reshape import coefficients_wide
+from fleetfold.session import settle
 
 CALIBRATION_SCHEMA = (
     "monitor string, pollutant string, slope double, intercept double, r2 double, rmse double, "
@@ -227,7 +227,7 @@ def apply_calibration(
     coefficients exist and the raw value survived that cut.
     """
     flag = flag or f"calibrated_{value}"
-    coefs = most_recent_fit(cal, value).select("monitor", "slope", "intercept")
+    coefs = settle(most_recent_fit(cal, value).select("monitor", "slope", "intercept"))
     usable = usable_slope("slope")
     corrected = F.when(usable, (F.col(value) - F.col("intercept")) / F.col("slope")).otherwise(
         F.col(value)
@@ -250,7 +250,7 @@ def replacement_counts(
     df: DataFrame, cal: DataFrame, value: str, min_valid: float = 1.0
 ) -> DataFrame:
     """How many corrected and raw values the minimum removes."""
-    coefs = most_recent_fit(cal, value).select("monitor", "slope", "intercept")
+    coefs = settle(most_recent_fit(cal, value).select("monitor", "slope", "intercept"))
     corrected = F.when(
         usable_slope("slope"), (F.col(value) - F.col("intercept")) / F.col("slope")
     ).otherwise(F.col(value))
@@ -313,7 +313,7 @@ def gas_regressions(
 
 def apply_gas_calibration(df: DataFrame, coefs: DataFrame, gases: Sequence[str]) -> DataFrame:
     """Correct all gases; a missing coefficient makes the value null."""
-    wide = coefficients_wide(coefs, gases)
+    wide = settle(coefficients_wide(coefs, gases))
     return df.join(wide, "monitor", "left").select(
         "monitor",
         "timestamp",

@@ -117,11 +117,15 @@ def complete_weeks(days: DataFrame, first: str = "sunday") -> DataFrame:
 
 
 def week_calendar(
-    weeks: DataFrame, start: dt.date, end: dt.date, fill: str = "days_with_data"
+    weeks: DataFrame,
+    start: dt.date,
+    end: dt.date,
+    keys: Sequence[str] = ("monitor",),
+    fill: str = "days_with_data",
 ) -> DataFrame:
     """Weekly counts on the full (monitor, week) calendar, 0 where there is nothing."""
-    calendar = full_calendar(weeks, "week", F.lit(start), F.lit(end), "7 days")
-    return on_calendar(weeks, calendar, ["monitor", "week"], {fill: 0})
+    calendar = full_calendar(weeks, "week", F.lit(start), F.lit(end), "7 days", *keys)
+    return on_calendar(weeks, calendar, [*keys, "week"], {fill: 0})
 
 
 def both_feeds_by_hour(card: DataFrame, cloud: DataFrame) -> DataFrame:
@@ -142,6 +146,35 @@ def either_feed(hours: DataFrame) -> DataFrame:
     )
 
 
+def complete_weeks_by_feed(
+    hours: DataFrame, min_hours: int = 18, strict: bool = True, first: str = "sunday"
+) -> DataFrame:
+    """Complete days per week of each feed and of either feed, in one pass over joined hours."""
+    flags = F.array(
+        *[
+            F.struct(F.lit(feed).alias("feed"), F.col(flag).alias("flag"), known.alias("known"))
+            for feed, flag, known in (
+                ("sd", "hour_complete_sd", F.col("hour_complete_sd").isNotNull()),
+                ("cloud", "hour_complete_cloud", F.col("hour_complete_cloud").isNotNull()),
+                ("either", "hour_complete", F.lit(True)),
+            )
+        ]
+    )
+    long = (
+        either_feed(hours)
+        .select("monitor", "date_hour", F.explode(flags).alias("f"))
+        .where("f.known")
+    )
+    n = F.coalesce(F.sum("f.flag"), F.lit(0))
+    days = long.groupBy(F.col("f.feed").alias("feed"), "monitor",
+                        F.to_date("date_hour").alias("date")).agg(n.alias("complete_hours"))
+    return (
+        days.withColumn("day_complete", enough("complete_hours", min_hours, strict))
+        .groupBy("feed", "monitor", week_start("date", first).alias("week"))
+        .agg(F.sum("day_complete").alias("days_with_data"))
+    )
+
+
 def feed_summary(hours: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """First and last hour, complete hours, days and percentages of each feed and of both.
 

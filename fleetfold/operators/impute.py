@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.operators.merge import on_calendar
+from fleetfold.operators.merge import full_calendar, on_calendar
 
 
 def leave_one_out(
@@ -98,10 +98,6 @@ def every_step(
 ) -> DataFrame:
     """Rows for every monitor at every step of the whole span; new rows are null elsewhere."""
     span = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
-    steps = F.explode(
-        F.sequence(
-            span.select("a").scalar(), span.select("b").scalar(), F.expr(f"interval {step}")
-        )
-    )
-    calendar = df.select(entity).distinct().select(entity, steps.alias(time))
+    first, last = span.select("a").scalar(), span.select("b").scalar()
+    calendar = full_calendar(df, time, first, last, step, entity)
     return on_calendar(df, calendar, [entity, time], {})

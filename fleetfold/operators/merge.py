@@ -221,11 +221,15 @@ def stack_batches(
 
 
 def full_calendar(
-    df: DataFrame, time: str, start: Column, end: Column, step: str, entity: str = "monitor"
+    df: DataFrame, time: str, start: Column, end: Column, step: str, *entity: str
 ) -> DataFrame:
-    """Every monitor at every step between two moments; no cross join, the calendar is exploded."""
+    """Every monitor (or other entity) at every step between two moments.
+
+    No cross join: each entity explodes the calendar for itself.
+    """
+    names = entity or ("monitor",)
     steps = F.explode(F.sequence(start, end, F.expr(f"interval {step}")))
-    return df.select(entity).distinct().select(entity, steps.alias(time))
+    return df.select(*names).distinct().select(*names, steps.alias(time))
 
 
 def own_calendar(df: DataFrame, time: str, step: str, entity: str = "monitor") -> DataFrame:

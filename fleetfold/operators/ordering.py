@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfold.functions.columns import as_column
+from fleetfold.session import settle
 
-SPLITS = 255
+HALVINGS = 10
+SPLITS = 2**HALVINGS - 1
 SKETCH_ACCURACY = 10_000
 
 
@@ -29,21 +31,21 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Bring one-row-per-key ``stats`` to the rows; without keys, as a scalar subquery.
+    """Bring one-row-per-key ``stats``, computed from ``df``, back to its rows.
 
-    Spark broadcasts ``stats`` if its measured size allows, otherwise the join is split by AQE
-    where ``df`` is skewed.
+    Without keys ``stats`` is one row and enters as a scalar subquery. With keys it is settled
+    first, so that its measured size decides between a broadcast and a shuffled join.
     """
     if keys:
-        return df.join(stats, list(keys), how)
+        return df.join(settle(stats), list(keys), how)
     names = stats.columns
     packed = stats.select(F.struct(*names).alias("_s")).scalar()
     return df.withColumn("_s", packed).select(*df.columns, *[F.col(f"_s.{n}") for n in names])
 
 
 def _bucket(value: Column, splits: Column) -> Column:
-    """Number of split points not above ``value``, by eight halvings of the 255 sorted splits."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(8))])
+    """Number of split points not above ``value``, by repeated halving of the sorted splits."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(HALVINGS))])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -56,9 +58,9 @@ def _bucket(value: Column, splits: Column) -> Column:
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """For each distinct (keys, value): how many rows hold it (``n``) and how many are smaller.
 
-    Equal values are collapsed first. The distinct values of a key are cut into 256 buckets at
+    Equal values are collapsed first. The distinct values of a key are cut into 1024 buckets at
     sketched split points, so the running count is a window over one bucket plus the offset of
-    the bucket, and even a single key is spread over 256 tasks.
+    the bucket, and even a single key is spread over many tasks.
     """
     keys = list(keys)
     distinct = (
@@ -170,11 +172,11 @@ def key_digest(*parts: Column | str) -> Column:
 def row_ids(df: DataFrame, keys: Sequence[str], name: str = "row_id") -> DataFrame:
     """Number the rows 1..n in the order of the digest of their unique key.
 
-    Digests are uniform, so their first three hex digits cut any table into 4096 even parts; a row
-    number is the offset of the part plus the position inside it.
+    Digests are uniform, so their first four hex digits cut any table into 65,536 even parts; a
+    row number is the offset of the part plus the position inside it.
     """
     tagged = df.withColumn("_digest", key_digest(*keys)).withColumn(
-        "_part", F.substring("_digest", 1, 3)
+        "_part", F.substring("_digest", 1, 4)
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -216,7 +218,7 @@ def day_block_split(
         *strata,
         F.when(F.row_number().over(order) <= wanted, "test").otherwise("train").alias(name),
     )
-    return df.join(labelled, [day, *strata])
+    return df.join(settle(labelled), [day, *strata])
 
 
 def day_fold(day: Column | str, folds: int, seed: str = "123") -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.distributions import normal_upper_pvalue
 from fleetfold.operators.ordering import attach, top_per_key
+from fleetfold.session import cut_lineage
 
 LEVELS = 20
 
@@ -136,8 +137,11 @@ def moran_test(
     scored = attach(known.select(key, x, y, value), mean, []).select(
         key, x, y, (F.col(value) - F.col("_mean")).alias("_z")
     )
-    edges = nearest_neighbours(scored, k, key, x, y).select(
-        key, "neighbour", F.lit(1.0 / k).alias("w")
+    # the weights are used four times: find the neighbours once and keep them on shared storage
+    edges = cut_lineage(
+        nearest_neighbours(scored, k, key, x, y).select(
+            key, "neighbour", F.lit(1.0 / k).alias("w")
+        )
     )
     z = scored.select(key, "_z")
     lagged = (

@@ -127,7 +127,7 @@ def tukey_pairs(df: DataFrame, value: str, level: str, keys: Sequence[str] = ())
     pairs = first.select(
         *keys, "a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")
     )
-    joined = attach(pairs, error, keys, "inner")
+    joined = pairs.join(error, keys) if keys else attach(pairs, error, [])
     difference = F.col("b.mean") - F.col("a.mean")
     scale = F.sqrt(F.col("mse") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
     k, freedom = F.col("k").cast("double"), F.col("df").cast("double")

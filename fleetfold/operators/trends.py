@@ -119,7 +119,8 @@ def wind_rose(
         *keys, sector.cast("int").alias("sector"), label.otherwise(f">{lower:g}").alias("speed")
     ).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    return attach(counts, totals, list(keys)).select(
+    joined = counts.join(totals, list(keys)) if keys else attach(counts, totals, [])
+    return joined.select(
         *keys, "sector", "speed", "n", (F.col("n") / F.col("_total")).alias("share")
     )
 
@@ -187,6 +188,7 @@ def calibration_change(df: DataFrame, raw: str, adjusted: str, delta: str, ratio
     )
 
 
+PAIR_BLOCK = 512
 _PAIR_SCHEMA = (
     "monitor_x string, monitor_y string, n double, sx double, sy double, sxx double, "
     "syy double, sxy double"
@@ -194,33 +196,45 @@ _PAIR_SCHEMA = (
 
 
 def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums over the common time steps of every pair of monitors in a batch, by matrix products."""
+    """Sums over the common time steps of every pair of monitors in a batch, by matrix products.
+
+    Steps and monitors are taken in blocks, so memory stays bounded for fleets of any size.
+    """
     for batch in batches:
-        times = np.repeat(np.arange(len(batch)), batch["names"].map(len).to_numpy())
-        if len(times) == 0:
+        if len(batch) == 0:
             continue
-        names, column = np.unique(np.concatenate(batch["names"].to_list()), return_inverse=True)
-        values = np.concatenate(batch["readings"].to_list()).astype("float64")
-        x = np.zeros((len(batch), len(names)))
-        here = np.zeros_like(x)
-        x[times, column] = values
-        here[times, column] = 1.0
-        i, j = np.meshgrid(np.arange(len(names)), np.arange(len(names)), indexing="ij")
-        both = here.T @ here
-        keep = both > 0
-        squares = x * x
-        yield pd.DataFrame(
-            {
-                "monitor_x": names[i[keep]],
-                "monitor_y": names[j[keep]],
-                "n": both[keep],
-                "sx": (x.T @ here)[keep],
-                "sy": (here.T @ x)[keep],
-                "sxx": (squares.T @ here)[keep],
-                "syy": (here.T @ squares)[keep],
-                "sxy": (x.T @ x)[keep],
-            }
-        )
+        all_names = np.unique(np.concatenate(batch["names"].to_list()))
+        chunk = max(64, 8_000_000 // len(all_names))
+        for start in range(0, len(batch), chunk):
+            part = batch.iloc[start : start + chunk]
+            rows = np.repeat(np.arange(len(part)), part["names"].map(len).to_numpy())
+            columns = np.searchsorted(all_names, np.concatenate(part["names"].to_list()))
+            x = np.zeros((len(part), len(all_names)))
+            here = np.zeros_like(x)
+            x[rows, columns] = np.concatenate(part["readings"].to_list()).astype("float64")
+            here[rows, columns] = 1.0
+            for i in range(0, len(all_names), PAIR_BLOCK):
+                for j in range(0, len(all_names), PAIR_BLOCK):
+                    a, b = slice(i, i + PAIR_BLOCK), slice(j, j + PAIR_BLOCK)
+                    yield _block_sums(all_names, x, here, a, b)
+
+
+def _block_sums(names, x, here, a: slice, b: slice) -> pd.DataFrame:
+    xa, xb, ha, hb = x[:, a], x[:, b], here[:, a], here[:, b]
+    both = ha.T @ hb
+    at_a, at_b = np.nonzero(both > 0)
+    sums = {
+        "n": both,
+        "sx": xa.T @ hb,
+        "sy": ha.T @ xb,
+        "sxx": (xa * xa).T @ hb,
+        "syy": ha.T @ (xb * xb),
+        "sxy": xa.T @ xb,
+    }
+    return pd.DataFrame(
+        {"monitor_x": names[a][at_a], "monitor_y": names[b][at_b]}
+        | {name: matrix[at_a, at_b] for name, matrix in sums.items()}
+    )
 
 
 def monitor_pairs(df: DataFrame, value: str, time: Sequence[str] = ("date", "hour")) -> DataFrame:

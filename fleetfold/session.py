@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,7 @@ def build_session(app: str = "fleetfold", cpus: str | None = None, **extra: str)
             builder.master(f"local[{cpus}]")
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.driver.memory", os.environ.get("FLEETFOLD_DRIVER_MEMORY", "8g"))
         )
     for key, value in {**SETTINGS, **extra}.items():
@@ -48,6 +50,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small result to the shared folder and read it back.
+
+    The planner then knows its true size: Spark broadcasts it below its threshold and joins it by
+    shuffle beyond, so the large side of the next join is not shuffled for a handful of rows.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` on reliable storage, so that lost executors do not restart a fit."""
     context = df.sparkSession.sparkContext

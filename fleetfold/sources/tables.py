@@ -217,10 +217,15 @@ def external_weather(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return select_known(df.withColumnsRenamed(dict(columns)), list(columns.values())).dropna()
 
 
-def write_readings(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite"):
-    """Write readings partitioned by date; rows of one day go to few files."""
-    tasks = df.repartition("date", F.pmod(F.xxhash64("monitor"), F.lit(16)))
-    writer = tasks.write.mode(mode).partitionBy("date")
+def write_readings(
+    df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite", files_per_day: int = 16
+):
+    """Write readings partitioned by date, each day spread evenly over a few files.
+
+    The spread hashes monitor and time, so a monitor that sends most of a day is split as well.
+    """
+    spread = F.pmod(F.xxhash64("monitor", "timestamp"), F.lit(files_per_day))
+    writer = df.repartition("date", spread).write.mode(mode).partitionBy("date")
     if kind == "csv":
         writer.option("header", True).csv(path)
     else:
