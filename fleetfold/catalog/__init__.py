@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from fleetfold.catalog import aggregates, joins, modelling, scalars, sources  # noqa: F401
+    from fleetfold.catalog import aggregates, jobs, joins, modelling, scalars, sources  # noqa: F401
 
 
 def all_queries() -> dict:

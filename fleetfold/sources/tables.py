@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -17,6 +18,7 @@ from fleetfold.functions.columns import (
 from fleetfold.operators.calibrate import CALIBRATION_SCHEMA
 from fleetfold.operators.ordering import first_per_key
 from fleetfold.operators.reshape import coalesce_known, select_known
+from fleetfold.session import shared_folder
 
 CHANNELS = ("pm1", "pm25", "pm10", "co", "no", "no2", "o3")
 CLOUD_SCHEMA = (
@@ -232,6 +234,17 @@ def write_readings(
         writer.parquet(path)
 
 
+def store_by_date(df: DataFrame, files_per_day: int = 16) -> DataFrame:
+    """Write an intermediate table of readings to the shared folder and read it back.
+
+    What several later steps use is computed once, survives lost executors, and steps that need a
+    span of days read only those.
+    """
+    path = f"{shared_folder(df.sparkSession)}/readings-{uuid.uuid4().hex}"
+    write_readings(df, path, files_per_day=files_per_day)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def write_summary(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite"):
     writer = df.write.mode(mode)
     if kind == "csv":
