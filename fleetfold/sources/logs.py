@@ -23,8 +23,8 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def read_whole_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return spark.read.option("wholetext", True).text(
-        paths if isinstance(paths, str) else list(paths)
+    return spark.read.text(
+        paths if isinstance(paths, str) else list(paths), wholetext=True
     ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
