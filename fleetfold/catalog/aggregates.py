@@ -190,8 +190,9 @@ def a08(spark, sf):
 
 @query(
     "a08_gas_regressions_against_reference",
-    """SELECT g.monitor, count(*) AS "N", round_even(regr_slope(g.co, r.co), 2) AS slope,
-              round_even(regr_intercept(g.co, r.co), 2) AS intercept
+    """SELECT g.monitor, count(*) AS "N",
+              CASE WHEN count(*) > 1 THEN round_even(regr_slope(g.co, r.co), 2) END AS slope,
+              CASE WHEN count(*) > 1 THEN round_even(regr_intercept(g.co, r.co), 2) END AS intercept
        FROM gas_hours g JOIN gas_hours r ON g.timestamp = r.timestamp AND r.monitor = 'MOD-00000'
        WHERE g.co IS NOT NULL AND r.co IS NOT NULL GROUP BY 1""",
 )

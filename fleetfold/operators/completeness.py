@@ -116,18 +116,6 @@ def complete_weeks(days: DataFrame, first: str = "sunday") -> DataFrame:
     )
 
 
-def week_calendar(
-    weeks: DataFrame,
-    start: dt.date,
-    end: dt.date,
-    keys: Sequence[str] = ("monitor",),
-    fill: str = "days_with_data",
-) -> DataFrame:
-    """Weekly counts on the full (monitor, week) calendar, 0 where there is nothing."""
-    calendar = full_calendar(weeks, "week", F.lit(start), F.lit(end), "7 days", *keys)
-    return on_calendar(weeks, calendar, [*keys, "week"], {fill: 0})
-
-
 def both_feeds_by_hour(card: DataFrame, cloud: DataFrame) -> DataFrame:
     """Hour flags of the two feeds side by side; null where a feed has no such hour."""
     return card.select("monitor", "date_hour", "hour_complete_sd").join(

@@ -270,10 +270,6 @@ def predict_with(
     return out.drop(*[f"{c}_missing" for c in numeric])
 
 
-def best_pipeline(model: CrossValidatorModel) -> PipelineModel:
-    return model.bestModel
-
-
 def top_importances(
     model: PipelineModel, scored: DataFrame, n: int = 20, without: str | None = None
 ) -> DataFrame:

@@ -99,6 +99,7 @@ def exact_quantiles(
 
     A sketch brackets each wanted rank; only the rows inside the bracket (a fraction of about
     4 / ``SKETCH_ACCURACY`` on each side) are ordered, everything below it is merely counted.
+    Groups so small that this margin is less than a few ranks are ordered as a whole.
     """
     keys = list(keys)
     names = list(probs)
@@ -112,10 +113,12 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", lows + highs, SKETCH_ACCURACY).alias("_cuts"),
     )
+    small = F.col("_n") <= 2 * SKETCH_ACCURACY
     brackets = []
     for i, name in enumerate(names):
-        low = F.col("_min") if lows[i] == 0.0 else F.col("_cuts")[i]
-        high = F.col("_max") if highs[i] == 1.0 else F.col("_cuts")[len(names) + i]
+        cut_low, cut_high = F.col("_cuts")[i], F.col("_cuts")[len(names) + i]
+        low = F.when(small | F.lit(lows[i] == 0.0), F.col("_min")).otherwise(cut_low)
+        high = F.when(small | F.lit(highs[i] == 1.0), F.col("_max")).otherwise(cut_high)
         at = (F.col("_n") - 1) * F.lit(float(probs[name]))
         brackets.append(
             F.struct(

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "fleetfold", cpus: str | None = None, **extra: str) -> SparkSession:
     """Local session for tests and the bench; on a cluster spark-submit supplies the master."""
@@ -45,9 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="fleetfold-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="fleetfold-")
+    return _LOCAL_FOLDERS[application]
 
 
 def settle(df: DataFrame) -> DataFrame:

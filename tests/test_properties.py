@@ -39,6 +39,19 @@ def test_exact_quantiles(numbers):
     assert whole.m == pytest.approx(np.median([v for _, v in rows if v is not None]))
 
 
+def test_exact_quantiles_of_every_small_and_of_a_large_group(spark):
+    rng = random.Random(3)
+    groups = {n: [rng.gauss(0, 1) for _ in range(n)] for n in [*range(1, 40), 60_000]}
+    rows = [(n, v) for n, values in groups.items() for v in values]
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "v"])).repartition(7)
+    probs = {"a": 0.25, "b": 0.5, "c": 0.9}
+    for row in ordering.exact_quantiles(df, "v", probs, ["k"]).collect():
+        expected = np.quantile(groups[row.k], list(probs.values()))
+        assert [row.a, row.b, row.c] == pytest.approx(list(expected), rel=1e-12)
+
+
 def test_value_ranks(numbers):
     rows, df = numbers
     for r in ordering.value_ranks(df, "v", ["k"]).collect():
