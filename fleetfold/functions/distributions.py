@@ -7,12 +7,17 @@ resulting handful of numbers into p-values.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# executors get these functions by value and need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def normal_upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
