@@ -12,7 +12,7 @@ from fleetfold.catalog.registry import query
 from fleetfold.catalog.scalars import COOKING_SQL, EXTRAPOLATION_SQL, flagged
 from fleetfold.catalog.sources import external_wind, optical_files
 from fleetfold.config import RollupRules
-from fleetfold.functions.calendar import cooking_period
+from fleetfold.functions.calendar import cooking_period, moment
 from fleetfold.operators import (
     calibrate,
     completeness,
@@ -488,8 +488,7 @@ HOUR_GRID_SQL = """
 def hours_on_calendar(spark, sf):
     return completeness.hours_on_calendar(
         fx.readings(spark, sf), "pm25",
-        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"),
-        F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz"), 2,
+        moment(dt.datetime(2024, 1, 1)), moment(dt.datetime(2024, 1, 31)), 2,
     )
 
 

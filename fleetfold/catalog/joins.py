@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.catalog import fixtures as fx
 from fleetfold.catalog.registry import query
+from fleetfold.functions.calendar import moment
 from fleetfold.operators import calibrate, completeness, merge, ordering, reshape, rollup, spatial
 from fleetfold.operators.models import hours_to_calibrate
 
@@ -623,7 +624,7 @@ def r04(spark, sf):
     start, end = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 9)
     hours = completeness.hours_on_calendar(
         fx.readings(spark, sf), "pm25",
-        F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), 2,
+        moment(start), moment(end), 2,
     )
     return hours.select("monitor", "date_hour", "minutes_in_hour")
 

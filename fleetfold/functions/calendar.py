@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from fleetfold.functions.columns import as_column
 
 
+def moment(value: dt.date | dt.datetime) -> Column:
+    """Literal of a wall-clock time (or midnight of a date), whatever the session zone."""
+    return F.lit(value.isoformat()).cast("timestamp_ntz")
+
+
 def truncate(ts: Column | str, unit: str) -> Column:
     """Start of the minute, hour, month (or Monday week) that holds ``ts``."""
     return F.date_trunc(unit, as_column(ts)).cast("timestamp_ntz")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.functions.calendar import in_cook_time
+from fleetfold.functions.calendar import in_cook_time, moment
 from fleetfold.functions.columns import device_class, outside_range, significant, within
 from fleetfold.functions.pairs import PAIR_SCHEMA, pair_sums
 from fleetfold.operators.ordering import attach, exact_quantiles
@@ -130,8 +130,7 @@ def overlap_wind_roses(
     """Wind roses of a device and an external station over the same span, station by station."""
     mine = device.where((F.col("date") > F.lit(start)) & (F.col("date") < F.lit(end)))
     theirs = external.where(
-        (F.col("DateTime") > F.lit(start).cast("timestamp_ntz"))
-        & (F.col("DateTime") < F.lit(end).cast("timestamp_ntz"))
+        (F.col("DateTime") > moment(start)) & (F.col("DateTime") < moment(end))
     )
     stacked = mine.select(F.col("monitor").alias("station"), "ws", "wd").unionByName(
         theirs.select(

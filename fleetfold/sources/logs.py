@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.functions.calendar import truncate
+from fleetfold.functions.calendar import moment, truncate
 from fleetfold.functions.columns import FOLDER_ID_PATTERN, adc_value, adc_volts
 
 # Fixed values of the optical reference instrument: factor and offset of each analogue channel.
@@ -145,8 +145,7 @@ def raw_file_hours(files: DataFrame, monitor: Column, start, end, preamble: int
         moments.groupBy(monitor.alias("monitor"), truncate("_ts", "hour").alias("date_hour"))
         .agg(F.count(F.lit(1)).alias("observation_count"))
         .where(
-            (F.col("date_hour") > F.lit(start).cast("timestamp_ntz"))
-            & (F.col("date_hour") < F.lit(end).cast("timestamp_ntz"))
+            (F.col("date_hour") > moment(start)) & (F.col("date_hour") < moment(end))
         )
     )
 

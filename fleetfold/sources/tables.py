@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetfold.functions.calendar import moment
 from fleetfold.functions.columns import (
     clean_place,
     monitor_from_path,
@@ -186,7 +187,7 @@ def temperature_rows(raw: DataFrame) -> DataFrame:
 
 def wind_rows(raw: DataFrame, start, tie_break: Sequence[Column] = ()) -> DataFrame:
     """Wind readings, one per monitor and time, from a start date on."""
-    rows = raw.where(F.col("timestamp_iso") >= F.lit(start).cast("timestamp_ntz"))
+    rows = raw.where(F.col("timestamp_iso") >= moment(start))
     order = list(tie_break) or [F.col("ws"), F.col("wd")]
     return first_per_key(rows, ["monitor", "timestamp_iso"], order).select(
         "timestamp_iso", "ws", "wd", "monitor", F.lit("sd_card").alias("source")
