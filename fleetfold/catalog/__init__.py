@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
+    """Import the modules that register queries."""
     from fleetfold.catalog import aggregates, jobs, joins, modelling, scalars, sources  # noqa: F401
 
 

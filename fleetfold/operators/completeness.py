@@ -100,18 +100,25 @@ def hour_counts(
 
 
 def complete_days(
-    hours: DataFrame, flag: str, min_hours: int = 18, strict: bool = True
+    hours: DataFrame,
+    flag: str,
+    min_hours: int = 18,
+    strict: bool = True,
+    keys: Sequence[str] = ("monitor",),
 ) -> DataFrame:
+    """Complete hours of each day, and whether they are enough."""
     n = F.coalesce(F.sum(flag), F.lit(0))
     return (
-        hours.groupBy("monitor", F.to_date("date_hour").alias("date"))
+        hours.groupBy(*keys, F.to_date("date_hour").alias("date"))
         .agg(n.alias("complete_hours"))
         .withColumn("day_complete", enough("complete_hours", min_hours, strict))
     )
 
 
-def complete_weeks(days: DataFrame, first: str = "sunday") -> DataFrame:
-    return days.groupBy("monitor", week_start("date", first).alias("week")).agg(
+def complete_weeks(
+    days: DataFrame, first: str = "sunday", keys: Sequence[str] = ("monitor",)
+) -> DataFrame:
+    return days.groupBy(*keys, week_start("date", first).alias("week")).agg(
         F.sum("day_complete").alias("days_with_data")
     )
 
@@ -152,15 +159,10 @@ def complete_weeks_by_feed(
         either_feed(hours)
         .select("monitor", "date_hour", F.explode(flags).alias("f"))
         .where("f.known")
+        .select("f.feed", "monitor", "date_hour", "f.flag")
     )
-    n = F.coalesce(F.sum("f.flag"), F.lit(0))
-    days = long.groupBy(F.col("f.feed").alias("feed"), "monitor",
-                        F.to_date("date_hour").alias("date")).agg(n.alias("complete_hours"))
-    return (
-        days.withColumn("day_complete", enough("complete_hours", min_hours, strict))
-        .groupBy("feed", "monitor", week_start("date", first).alias("week"))
-        .agg(F.sum("day_complete").alias("days_with_data"))
-    )
+    keys = ("feed", "monitor")
+    return complete_weeks(complete_days(long, "flag", min_hours, strict, keys), first, keys)
 
 
 def feed_summary(hours: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
