@@ -47,3 +47,13 @@ def test_calibration_is_a_broadcast_lookup(spark, sample):
 def test_date_filter_reaches_the_partitions(spark, sample):
     plan = plan_of(QUERIES["s15_write_and_prune_by_date"](spark, sample))
     assert re.search(r"PartitionFilters: \[.*date", plan)
+
+
+def test_merge_of_repeated_keys_has_no_outer_join(spark, sample):
+    plan = plan_of(QUERIES["j01_merge_full_with_duplicates"](spark, sample))
+    assert "FullOuter" not in plan and plan.count("LeftAnti") >= 2
+
+
+def test_channels_combine_in_one_grouping(spark, sample):
+    plan = plan_of(QUERIES["j06_natural_full_join"](spark, sample))
+    assert "Join" not in plan
