@@ -9,6 +9,8 @@ shift: an overlap counts if some run of ``window`` item words agrees in at least
 from __future__ import annotations
 
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,26 @@ def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "te
     return items.where(F.size("item_words") >= least_words).dropDuplicates(["item"])
 
 
-def _hits(docs: DataFrame, items: DataFrame, text: str, seeds) -> DataFrame:
-    """Distinct (text keys, item, shift)."""
-    probes = items.select("item", F.inline(_seeded(F.col("item_words"), seeds))).withColumnRenamed("at", "item_at")
-    known = stored(probes)
-    body = whole_text(text)
-    split = docs.select(*text_keys(body), alnum_words(body).alias("words"))
-    seen = split.select("k1", "k2", F.inline(_seeded(F.col("words"), seeds)))
-    return seen.join(known, "digest").select("k1", "k2", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+def _bitmap(known: DataFrame) -> Column:
+    """Bits of the digests of the benchmark, as one constant array of longs.
+
+    Its size follows the benchmark, never the documents, and stops at 2 MB; a fuller bitmap lets more
+    windows through to the join, it never loses one.
+    """
+    words = 1 << min(18, max(6, (4 * max(1, known.count()) - 1).bit_length()))
+    slot, bit = F.col("digest").bitwiseAND(F.lit(words - 1)), F.expr("cast(shiftrightunsigned(digest, 32) & 63 as int)")
+    # two's complement: bit 63 is the sign
+    rows = known.select(slot.alias("slot"), bit.alias("bit")).distinct().groupBy("slot").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).collect()
+    bits = [0] * words
+    for row in rows:
+        bits[row.slot] = row.bits
+    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+
+def _maybe_known(bitmap: Column, digest: Column) -> Column:
+    slot = digest.bitwiseAND(F.size(bitmap).cast("long") - 1).cast("int")
+    bit = F.shiftrightunsigned(digest, 32).bitwiseAND(F.lit(63)).cast("int")
+    return F.get(bitmap, slot).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
 
 
 def _agreeing(words: Column, item_words: Column, shift: Column) -> Column:
@@ -58,61 +72,50 @@ def _agreeing(words: Column, item_words: Column, shift: Column) -> Column:
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
+    keep: list[Column],
     text: str = "text",
     seeds=SEEDS,
     window: int = WINDOW,
     similarity: float = SIMILARITY,
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``overlaps``: array of (item_id, shift, words, agreeing words), empty if clean.
+    """``keep`` columns, item_id, shift, words and agreeing words, a row per overlap of a document.
 
-    Works on the text alone, so repeated rows, null keys and equal texts get equal answers; null and
-    empty texts, an empty benchmark or an empty table of documents give no overlaps. Items shorter than
-    ``window`` are compared whole. A column of ``docs`` named ``overlaps`` is replaced.
+    One scan, no shuffle of texts: windows that cannot be of the benchmark are left out within the
+    row, the few others are joined with the digests of the benchmark and verified at once against the
+    words that travel with them. Null and empty texts, an empty benchmark and an empty table give no
+    rows; items shorter than ``window`` are compared whole; repeated rows and null keys give rows of
+    their own; other columns are not looked at.
     """
     items = stored(benchmark_items(benchmark, least_words=least_words))
-    named = _hits(docs, items, text, seeds).join(items, "item")
-    per_text = stored(
-        named.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "shift", "item_words")).alias("candidates"))
-    ).select(F.col("k1").alias("hit_k1"), F.col("k2").alias("hit_k2"), "candidates")
-    body = whole_text(text)
-    first, second = text_keys(body)
-    joined = docs.join(per_text, (first == F.col("hit_k1")) & (second == F.col("hit_k2")), "left")
-    with_words = joined.withColumn("words_of_hit", F.when(F.col("candidates").isNotNull(), alnum_words(body)))
-
-    def compared(c):
-        agree = _agreeing(F.col("words_of_hit"), c["item_words"], c["shift"])
-        return F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), agree.alias("agree"))
-
-    def best(c):
-        n = F.least(F.size(c["agree"]), F.lit(window))
-        runs = F.transform(
-            F.sequence(F.lit(0), F.size(c["agree"]) - n),
-            lambda s: F.aggregate(F.slice(c["agree"], s + 1, n), F.lit(0), lambda a, x: a + x),
-        )
-        return F.struct(
-            c["item_id"].alias("item_id"), c["shift"].alias("shift"), n.alias("words"), F.array_max(runs).alias("agreeing")
-        )
-
-    table = with_words.withColumn("compared_hits", F.transform("candidates", compared))
-    scored = table.withColumn("scored_hits", F.transform("compared_hits", best))
-    enough = lambda c: c["agreeing"] >= F.ceil(c["words"] * F.lit(similarity) - F.lit(1e-9))
-    kept = F.coalesce(F.filter("scored_hits", enough), F.array().cast(scored.schema["scored_hits"].dataType))
-    columns = [F.col(c) for c in docs.columns if c != "overlaps"]
-    return scored.select(*columns, kept.alias("overlaps"))
+    known = stored(items.select("item", F.inline(_seeded(F.col("item_words"), seeds))).withColumnRenamed("at", "item_at"))
+    bitmap = _bitmap(known)
+    split = docs.select(*keep, alnum_words(whole_text(text)).alias("words"))
+    names = split.columns[:-1]
+    seen = split.select(*names, "words", F.inline(F.filter(_seeded(F.col("words"), seeds), lambda w: _maybe_known(bitmap, w["digest"]))))
+    shifted = seen.join(known, "digest").withColumn("shift", F.col("at") - F.col("item_at")).join(items, "item")
+    agree = shifted.select(*names, "item_id", "shift", _agreeing(F.col("words"), F.col("item_words"), F.col("shift")).alias("agree"))
+    n = F.least(F.size("agree"), F.lit(window))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("agree") - n), lambda s: F.aggregate(F.slice("agree", s + 1, n), F.lit(0), lambda a, x: a + x)
+    )
+    scored = agree.select(*names, "item_id", "shift", n.alias("words"), F.array_max(runs).alias("agreeing"))
+    return scored.where(F.col("agreeing") >= F.ceil(F.col("words") * F.lit(similarity) - F.lit(1e-9))).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, words, agreeing: the best overlap of each document with each item."""
-    narrow = docs.select("doc_id", "text")
-    found = overlaps(narrow, benchmark).where(F.size("overlaps") > 0).select("doc_id", F.posexplode("overlaps").alias("nth", "overlap"))
-    best = F.max(F.struct("overlap.agreeing", (-F.col("overlap.shift")).alias("back"), "overlap.words"))
-    per_item = found.groupBy("doc_id", "overlap.item_id").agg(best.alias("best"))
+    found = overlaps(docs, benchmark, [F.col("doc_id")])
+    best = F.max(F.struct("agreeing", (-F.col("shift")).alias("back"), "words"))
+    per_item = found.groupBy("doc_id", "item_id").agg(best.alias("best"))
     return per_item.select(
         "doc_id", "item_id", F.greatest(-F.col("best.back"), F.lit(0)).alias("first_word"), "best.words", "best.agreeing"
     )
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap a benchmark item."""
-    return overlaps(docs, benchmark).where(F.size("overlaps") == 0).select(*docs.columns)
+    """``docs`` without the documents that overlap a benchmark item; equal texts share the verdict."""
+    first, second = text_keys(whole_text())
+    found = overlaps(docs, benchmark, [first, second]).select(F.col("k1").alias("flagged_k1"), F.col("k2").alias("flagged_k2"))
+    flagged = stored(found.distinct())
+    return docs.join(flagged, (first == F.col("flagged_k1")) & (second == F.col("flagged_k2")), "left_anti")
