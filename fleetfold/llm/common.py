@@ -58,3 +58,15 @@ def stored_rows(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit digests of a whole row, nulls told apart; equal rows share them."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*(F.when(c.isNull(), "0").otherwise("1") for c in columns))
+    return [F.xxhash64(nulls, *columns).alias("row_x1"), F.xxhash64(F.lit("second"), nulls, *columns).alias("row_x2")]
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """One of each set of equal rows, with ``row_x1`` and ``row_x2``; equal rows meet before the shuffle."""
+    return df.select("*", *row_keys(df)).dropDuplicates(["row_x1", "row_x2"])

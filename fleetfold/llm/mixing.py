@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.llm.common import blank_words, stored, stored_rows, whole_text
+from fleetfold.llm.common import blank_words, distinct_rows, row_keys, stored, stored_rows, whole_text
 from fleetfold.llm.prefix import row_numbers, running_sums
 
 # fixed values: weights of the sources in their order, share of all words, most epochs of a source
@@ -76,3 +76,16 @@ def mix_words(docs: DataFrame, seed: int = 0, text: str = "text", source: str =
     return summed.join(quota, F.col("source").eqNullSafe(F.col("target_source"))).select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), *keep
     )
+
+
+def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The documents of the mix, repeated as often as taken; the one at a cut is in if half of it is taken.
+
+    Documents without words take no part.
+    """
+    keyed = docs.select(*row_keys(docs), "doc_id", "source", "text")
+    taken = mix_words(keyed, seed, keep=("row_x1", "row_x2")).where("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    copies = stored(taken.groupBy("row_x1", "row_x2").agg(F.sum(times).alias("copies")).where("copies > 0"))
+    repeated = distinct_rows(docs).join(copies, ["row_x1", "row_x2"])
+    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_of_row")).drop("copy_of_row")
