@@ -118,10 +118,11 @@ def host_verdicts(rows: DataFrame, trusted_rate: float = TRUSTED_RATE) -> DataFr
 
 def judged(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``rows`` of ``measured`` with their host's verdicts and ``kept``."""
-    refused = F.lit(False)
+    # a sum over both sides of the join: no part of it moves below the join, where it would be computed twice
+    failures = F.col("base_failed").cast("int")
     for r in _rules():
-        refused = refused | (F.col(f"fails_{r}") & ~F.col(f"trusted_{r}"))
-    return rows.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host"))).withColumn("kept", ~F.col("base_failed") & ~refused)
+        failures = failures + (F.col(f"fails_{r}") & ~F.col(f"trusted_{r}")).cast("int")
+    return rows.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host"))).withColumn("kept", failures == 0)
 
 
 def quality_by_host(docs: DataFrame, trusted_rate: float = TRUSTED_RATE) -> DataFrame:
