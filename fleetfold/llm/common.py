@@ -70,3 +70,21 @@ def row_keys(df: DataFrame) -> list[Column]:
 def distinct_rows(df: DataFrame) -> DataFrame:
     """One of each set of equal rows, with ``row_x1`` and ``row_x2``; equal rows meet before the shuffle."""
     return df.select("*", *row_keys(df)).dropDuplicates(["row_x1", "row_x2"])
+
+
+def held_out(key: str, parts: int, part: int) -> Column:
+    """True where the checksum of the key's text falls on ``part``; a null key is never held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == part, F.lit(False))
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a digest of ``key``; all rows if there are fewer."""
+    share = min(1.0, bound / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def training_labels(labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(label_doc, label): one row per labelled document outside the held-out part, a bounded sample."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id", 5, 0))
+    one_each = known.groupBy(F.col("doc_id").alias("label_doc")).agg(F.max(label).alias("label"))
+    return stored(bounded_sample(one_each, "label_doc", bound))
