@@ -28,7 +28,8 @@ LENGTH, ANCHOR = 50, 20
 REACH = LENGTH - ANCHOR  # bytes before an anchor that a string around it can hold
 WIDTH = REACH + LENGTH
 # groups of equal anchors beyond this many places are compared by digests of their strings
-GROUP_LIMIT, COLLECTION = 4096, 1 << 16
+GROUP_LIMIT, COLLECTION = 1 << 16, 1 << 16
+ROWS_AT_ONCE, CONTEXTS_AT_ONCE = 64, 20_000
 LAST = (1 << 63) - 1
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -120,29 +121,43 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(np.concatenate(held))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 80 bytes around each repeated anchor, zeros beyond the text, and how many are real on either side."""
-    for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], [], []]
-        for row in batch.to_pylist():
-            text = bytes(REACH) + row["text"] + bytes(LENGTH)
-            for place in row["places"]:
-                at = place["at"]
-                values = (place["anchor"], row["text_id"], row["rank"], at, min(REACH, at), min(LENGTH, len(row["text"]) - at), text[at : at + WIDTH], place["wide"])
-                for column, value in zip(out, values):
-                    column.append(value)
-            if len(out[0]) > 20_000:
-                yield _context_batch(out)
-                out = [[], [], [], [], [], [], [], []]
-        yield _context_batch(out)
+CONTEXT = "anchor bigint, text_id bigint, rank bigint, at int, before int, after int, around binary, wide boolean"
 
 
-CONTEXT = "anchor bigint, text_id bigint, rank bigint, at int, before int, after int, around binary, wide boolean"
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 80 bytes around each repeated anchor, zeros beyond the text, and how many are real on either side."""
+    names = [f.split()[0] for f in CONTEXT.split(", ")]
+    window = np.arange(WIDTH)
 
+    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+        anchor, text_id, rank, at, before, after, around, wide = (np.concatenate(x) for x in zip(*parts))
+        offsets = np.arange(len(at) + 1, dtype=np.int32) * WIDTH
+        strings = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around))])
+        small = (pa.array(x.astype(np.int32)) for x in (at, before, after))
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(text_id), pa.array(rank), *small, strings, pa.array(wide)], names)
 
-def _context_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [f.split()[0] for f in CONTEXT.split(", ")])
+    for batch in batches:
+        ids, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("text_id", "rank"))
+        texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "places"))
+        parts, size = [], 0
+        for i in range(batch.num_rows):
+            places = lists[i].values
+            anchor, at, wide = (places.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "at", "wide"))
+            at = at.astype(np.int64)
+            for first in range(0, len(at), CONTEXTS_AT_ONCE):
+                some = slice(first, first + CONTEXTS_AT_ONCE)
+                text = np.frombuffer(bytes(REACH) + texts[i].as_py() + bytes(LENGTH), dtype=np.uint8)
+                here = at[some]
+                n, real = len(here), len(text) - REACH - LENGTH
+                parts.append(
+                    (anchor[some], np.full(n, ids[i]), np.full(n, ranks[i]), here, np.minimum(REACH, here), np.minimum(LENGTH, real - here), text[here[:, None] + window], wide[some])
+                )
+                size += n
+                if size >= CONTEXTS_AT_ONCE:
+                    yield batch_of(parts)
+                    parts, size = [], 0
+        if parts:
+            yield batch_of(parts)
 
 
 def column_wise(strings: np.ndarray, ranks: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -214,11 +229,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(pa.Table.from_batches(held))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts, few at a time."""
+    for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield from batch.slice(first, ROWS_AT_ONCE).to_pylist()
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string around an anchor of a wide group, by a 128-bit digest."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             for offset in range(REACH - row["before"], row["after"] - ANCHOR + 1):
                 string = row["around"][offset : offset + LENGTH]
                 for column, value in zip(out, (hashlib.md5(string).digest(), row["text_id"], row["rank"], row["at"] - REACH + offset)):
@@ -230,7 +251,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             text, at, removed, spans, kept = row["text"], 0, 0, 0, hashlib.sha256()
             stop = -1
             for span in sorted((s["start"], s["stop"]) for s in row["spans"]):
