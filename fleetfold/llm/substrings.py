@@ -66,19 +66,19 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct anchors of each text; their places are found again where they are needed."""
     for batch in batches:
         text_ids = batch.column(0).to_numpy(zero_copy_only=False)
-        starts, digests, owners, size = [], [], [], 0
+        digests, owners, size = [], [], 0
         for i, text in enumerate(batch.column(1)):
-            at, digest = anchors(text.as_py())
-            starts.append(at)
+            digest = np.unique(anchors(text.as_py())[1])
             digests.append(digest)
-            owners.append(np.full(len(at), text_ids[i]))
-            size += len(at)
+            owners.append(np.full(len(digest), text_ids[i]))
+            size += len(digest)
             if size > 200_000 or i == batch.num_rows - 1:
-                columns = np.concatenate(digests).view(np.int64), np.concatenate(owners), np.concatenate(starts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "text_id", "at"])
-                starts, digests, owners, size = [], [], [], 0
+                columns = np.concatenate(digests).view(np.int64), np.concatenate(owners)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "text_id"])
+                digests, owners, size = [], [], 0
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def batch_of(rows: np.ndarray, is_wide) -> pa.RecordBatch:
         flags = np.broadcast_to(is_wide, len(rows))
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(flags)], ["anchor", "text_id", "at", "wide"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(flags)], ["anchor", "text_id", "wide"])
 
     def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
@@ -121,41 +121,42 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(np.concatenate(held))
 
 
-CONTEXT = "anchor bigint, text_id bigint, rank bigint, at int, before int, after int, around binary, wide boolean"
+CONTEXT = "anchor bigint, text_id bigint, rank bigint, at int, size int, around binary, wide boolean"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 80 bytes around each repeated anchor, zeros beyond the text, and how many are real on either side."""
+    """The 80 bytes around each repeated anchor, zeros beyond the text, and the size of the text."""
     names = [f.split()[0] for f in CONTEXT.split(", ")]
     window = np.arange(WIDTH)
 
     def batch_of(parts: list[tuple]) -> pa.RecordBatch:
-        anchor, text_id, rank, at, before, after, around, wide = (np.concatenate(x) for x in zip(*parts))
+        anchor, text_id, rank, at, size, around, wide = (np.concatenate(x) for x in zip(*parts))
         offsets = np.arange(len(at) + 1, dtype=np.int32) * WIDTH
         strings = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around))])
-        small = (pa.array(x.astype(np.int32)) for x in (at, before, after))
+        small = (pa.array(x.astype(np.int32)) for x in (at, size))
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(text_id), pa.array(rank), *small, strings, pa.array(wide)], names)
 
     for batch in batches:
         ids, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("text_id", "rank"))
         texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "places"))
-        parts, size = [], 0
+        parts, held = [], 0
         for i in range(batch.num_rows):
-            places = lists[i].values
-            anchor, at, wide = (places.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "at", "wide"))
-            at = at.astype(np.int64)
+            known, known_wide = (lists[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "wide"))
+            body = texts[i].as_py()
+            at, digest = anchors(body)
+            digest = digest.view(np.int64)
+            repeated = np.isin(digest, known)
+            at, digest = at[repeated], digest[repeated]
+            wide = np.isin(digest, known[known_wide])
+            padded = np.frombuffer(bytes(REACH) + body + bytes(LENGTH), dtype=np.uint8)
             for first in range(0, len(at), CONTEXTS_AT_ONCE):
                 some = slice(first, first + CONTEXTS_AT_ONCE)
-                text = np.frombuffer(bytes(REACH) + texts[i].as_py() + bytes(LENGTH), dtype=np.uint8)
-                here = at[some]
-                n, real = len(here), len(text) - REACH - LENGTH
-                parts.append(
-                    (anchor[some], np.full(n, ids[i]), np.full(n, ranks[i]), here, np.minimum(REACH, here), np.minimum(LENGTH, real - here), text[here[:, None] + window], wide[some])
-                )
-                size += n
-                if size >= CONTEXTS_AT_ONCE:
+                n = len(at[some])
+                parts.append((digest[some], np.full(n, ids[i]), np.full(n, ranks[i]), at[some], np.full(n, len(body)), padded[at[some][:, None] + window], wide[some]))
+                held += n
+                if held >= CONTEXTS_AT_ONCE:
                     yield batch_of(parts)
-                    parts, size = [], 0
+                    parts, held = [], 0
         if parts:
             yield batch_of(parts)
 
@@ -188,9 +189,10 @@ def column_wise(strings: np.ndarray, ranks: np.ndarray, valid: np.ndarray, lengt
     return earlier
 
 
-def _valid(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    offsets = np.arange(REACH + 1)
-    return (offsets[None, :] >= REACH - before[:, None]) & (offsets[None, :] + ANCHOR <= after[:, None])
+def _valid(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the 31 strings around an anchor at ``at`` lie within a text of ``size`` bytes."""
+    start = at[:, None] - REACH + np.arange(REACH + 1)[None, :]
+    return (start >= 0) & (start + LENGTH <= size[:, None])
 
 
 def _spans(text_ids: np.ndarray, at: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -212,7 +214,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def of(table: pa.Table) -> pa.RecordBatch:
         strings = np.frombuffer(b"".join(table.column("around").to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
-        hit = column_wise(strings, _numbers(table, "rank"), _valid(_numbers(table, "before"), _numbers(table, "after")))
+        hit = column_wise(strings, _numbers(table, "rank"), _valid(_numbers(table, "at"), _numbers(table, "size")))
         return _spans(_numbers(table, "text_id"), _numbers(table, "at"), hit)
 
     held: list[pa.RecordBatch] = []
@@ -240,7 +242,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for row in _rows(batch):
-            for offset in range(REACH - row["before"], row["after"] - ANCHOR + 1):
+            for offset in range(max(0, REACH - row["at"]), min(REACH, row["size"] - LENGTH - row["at"] + REACH) + 1):
                 string = row["around"][offset : offset + LENGTH]
                 for column, value in zip(out, (hashlib.md5(string).digest(), row["text_id"], row["rank"], row["at"] - REACH + offset)):
                     column.append(value)
@@ -271,13 +273,13 @@ def repeated_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``suspects`` are the texts with an anchor that another text has; ``spans`` (text_id, start, stop) covers
     exactly the bytes of 50-byte strings that start in a text of smaller rank, in overlapping pieces.
     """
-    places = texts.select("text_id", "text").mapInArrow(_emit_anchors, "anchor bigint, text_id bigint, at int")
+    places = texts.select("text_id", "text").mapInArrow(_emit_anchors, "anchor bigint, text_id bigint")
     together = places.repartition("anchor").sortWithinPartitions("anchor")
-    shared = together.mapInArrow(_repeated, "anchor bigint, text_id bigint, at int, wide boolean")
-    per_text = shared.groupBy(F.col("text_id").alias("place_id")).agg(F.collect_list(F.struct("anchor", "at", "wide")).alias("places"))
+    shared = together.mapInArrow(_repeated, "anchor bigint, text_id bigint, wide boolean")
+    per_text = shared.groupBy(F.col("text_id").alias("place_id")).agg(F.collect_list(F.struct("anchor", "wide")).alias("places"))
     suspects = stored(texts.join(stored(per_text), F.col("text_id") == F.col("place_id")).drop("place_id"))
     around = suspects.mapInArrow(_contexts, CONTEXT)
-    narrow = around.where(~F.col("wide")).repartition("anchor").sortWithinPartitions("anchor")
+    narrow = around.where(~F.col("wide")).drop("wide").repartition("anchor").sortWithinPartitions("anchor")
     spans = narrow.mapInArrow(_compared, "text_id bigint, start bigint, stop bigint")
     strings = around.where("wide").mapInArrow(_digests, "digest binary, text_id bigint, rank bigint, start bigint")
     least = strings.groupBy(F.col("digest").alias("same")).agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most")
