@@ -53,7 +53,7 @@ def minimax_capacity(groups: DataFrame, total: int, largest: int, shards: int, f
     """Smallest feasible capacity and the ends of the shards.
 
     ``groups`` has ``upto``: bytes of all groups up to and with this one, strictly increasing.
-    Reads at most ``fences`` values per job to the driver.
+    Reads about ``fences`` values per job to the driver, twice as many after a round without progress.
     """
     if total <= 0:
         return 0, []
@@ -61,7 +61,10 @@ def minimax_capacity(groups: DataFrame, total: int, largest: int, shards: int, f
     low, high = max(largest, even), even + largest
     known: list[tuple[int, int]] = []
     regions = [(0, total)]
+    bounds = None
     while True:
+        # a round that told nothing had too few fences for the cuts still open
+        fences, bounds = (2 * fences if (low, high) == bounds else fences), (low, high)
         known = _refined(groups, known, regions, fences)
         high = _smallest(low, high, lambda c: greedy_cuts(known, total, shards, c, False)[-1] >= total)
         low = _smallest(low, high, lambda c: greedy_cuts(known, total, shards, c, True)[-1] >= total)
