@@ -11,6 +11,7 @@ from fleetfold.catalog.registry import query
 from fleetfold.functions.calendar import moment
 from fleetfold.operators import calibrate, completeness, merge, ordering, reshape, rollup, spatial
 from fleetfold.operators.models import hours_to_calibrate
+from fleetfold.session import settle
 
 
 @query("j01_merge_full_priority", "SELECT * FROM merged")
@@ -170,7 +171,7 @@ def j09(spark, sf):
     coefs = calibrate.most_recent_fit(fx.cal(spark, sf), "pm25")
     return (
         fx.readings(spark, sf)
-        .join(coefs.select("monitor", "slope", "intercept"), "monitor", "left")
+        .join(settle(coefs.select("monitor", "slope", "intercept")), "monitor", "left")
         .select("event_id", "slope", "intercept")
     )
 

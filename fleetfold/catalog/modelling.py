@@ -254,11 +254,11 @@ FIXED = Mixture(
     np.array([[[400.0, 100.0], [100.0, 90.0]], [[900.0, 150.0], [150.0, 120.0]]]),
 )
 FIXED_SQL = """
-    SELECT *, a / (a + b) AS w1, b / (a + b) AS w2,
-           a / (a + b) * (45 + 100 / 400.0::DOUBLE * (mod_pm25 - 40))
-             + b / (a + b) * (60 + 150 / 900.0::DOUBLE * (mod_pm25 - 90)) AS fem
-    FROM (SELECT *, 0.6 / 20.0::DOUBLE * exp(-0.5::DOUBLE * pow((mod_pm25 - 40) / 20, 2)) AS a,
-                 0.4 / 30.0::DOUBLE * exp(-0.5::DOUBLE * pow((mod_pm25 - 90) / 30, 2)) AS b
+    SELECT *, 1 / (1 + exp(b - a)) AS w1, 1 / (1 + exp(a - b)) AS w2,
+           1 / (1 + exp(b - a)) * (45 + 100 / 400.0::DOUBLE * (mod_pm25 - 40))
+             + 1 / (1 + exp(a - b)) * (60 + 150 / 900.0::DOUBLE * (mod_pm25 - 90)) AS fem
+    FROM (SELECT *, ln(0.6 / 20.0::DOUBLE) - 0.5::DOUBLE * pow((mod_pm25 - 40) / 20, 2) AS a,
+                 ln(0.4 / 30.0::DOUBLE) - 0.5::DOUBLE * pow((mod_pm25 - 90) / 30, 2) AS b
           FROM (SELECT monitor, date, hour, ref_pm25,
                        CASE WHEN hour % 5 <> 0 THEN mod_pm25 END AS mod_pm25 FROM model_hours))"""
 
@@ -271,13 +271,12 @@ def fixed_hours(spark, sf):
 
 @query(
     "m11_mixture_regression_fixed",
-    f"""SELECT monitor, date, hour, round(w1, 8) AS w1, round(fem, 7) AS fem FROM ({FIXED_SQL})
-        WHERE mod_pm25 < 300 OR mod_pm25 IS NULL""",
+    f"""SELECT monitor, date, hour, round(w1, 8) AS w1, round(fem, 7) AS fem FROM ({FIXED_SQL})""",
 )
 def m11_fixed(spark, sf):
     share = responsibilities(FIXED, ["mod_pm25"])[0]
     value = conditional_mean(FIXED, "ref_pm25", ["mod_pm25"])
-    rows = fixed_hours(spark, sf).where("mod_pm25 < 300 OR mod_pm25 IS NULL")
+    rows = fixed_hours(spark, sf)
     return rows.select(
         "monitor", "date", "hour", F.round(share, 8).alias("w1"), F.round(value, 7).alias("fem")
     )
@@ -319,14 +318,13 @@ def m13(spark, sf):
     f"""SELECT monitor, date, hour, round(greatest(fem, 0), 7) AS pm25_fem_gmr,
                round(greatest(fem, 0) - mod_pm25, 7) AS delta_gmr,
                round(CASE WHEN mod_pm25 > 0 THEN greatest(fem, 0) / mod_pm25 END, 6) AS ratio_gmr
-        FROM (SELECT monitor, date, hour, mod_pm25, fem FROM ({FIXED_SQL})
-              WHERE mod_pm25 < 300 OR mod_pm25 IS NULL)
+        FROM (SELECT monitor, date, hour, mod_pm25, fem FROM ({FIXED_SQL}))
         WHERE fem IS NOT NULL OR mod_pm25 IS NULL""".replace(
         "greatest(fem, 0)", "CASE WHEN fem IS NOT NULL THEN greatest(fem, 0) END"
     ),
 )
 def m14(spark, sf):
-    rows = fixed_hours(spark, sf).where("mod_pm25 < 300 OR mod_pm25 IS NULL")
+    rows = fixed_hours(spark, sf)
     table = models.apply_mixture(rows, FIXED, "ref_pm25", ["mod_pm25"])
     return table.select(
         "monitor", "date", "hour",

@@ -397,14 +397,7 @@ def s17(spark, sf):
     folder = scratch(spark, "calibration")
     tables.write_summary(fx.cal(spark, sf), f"{folder}/calibration_pm25.csv", "csv")
     found = tables.read_baseline(spark, folder, ["pm25", "pm10"])
-    typed = tables.read_typed(
-        spark,
-        f"{folder}/calibration_pm25.csv",
-        "monitor string, pollutant string, slope double, intercept double, r2 double, "
-        "n_points bigint, fitted_on date, colocation_end timestamp_ntz",
-        "csv",
-    )
-    return typed.select("monitor", "slope", "intercept").unionByName(
+    return found["pm25"].select("monitor", "slope", "intercept").unionByName(
         found["pm10"].select("monitor", "slope", "intercept")
     )
 

@@ -67,17 +67,14 @@ def studentised_range_upper(q: float, k: int, df: float) -> float:
         inner = np.clip(phi_z - cdf(z - width), 0.0, 1.0) ** (k - 1)
         return float(min(1.0, k * step * np.sum(density * inner)))
 
-    if df > 20000:
-        return 1.0 - range_cdf(q)
-    # scale s of the pooled deviation: df * s**2 is chi-square with df degrees of freedom
+    # scale s of the pooled deviation: df * s**2 is chi-square with df degrees of freedom; the panel
+    # narrows as df grows, and the density is taken relative to s = 1 so that nothing cancels
     spread = 1.0 / math.sqrt(2.0 * df)
     low, high = max(1e-6, 1.0 - 8 * spread), 1.0 + 8 * spread + 4.0 / df
     s = 0.5 * (high - low) * nodes + 0.5 * (high + low)
-    log_density = (
-        math.log(2.0) + (df / 2.0) * math.log(df / 2.0) - math.lgamma(df / 2.0)
-        + (df - 1.0) * np.log(s) - df * s * s / 2.0
-    )
-    mass = 0.5 * (high - low) * weights * np.exp(log_density)
+    off = s - 1.0
+    log_density = (df - 1.0) * np.log1p(off) - df * (off + off * off / 2.0)
+    mass = weights * np.exp(log_density - log_density.max())
     return float(max(0.0, 1.0 - np.sum(mass * np.array([range_cdf(q * v) for v in s])) / mass.sum()))
 
 
@@ -112,7 +109,9 @@ def normal_upper_pvalue(z: pd.Series) -> pd.Series:
 
 def studentised_range_quantile(p: float, k: int, df: float) -> float:
     """Value exceeded with probability 1 - p, by bisection."""
-    low, high = 0.0, 200.0
+    low, high = 0.0, 8.0
+    while studentised_range_upper(high, k, df) > 1.0 - p:
+        low, high = high, 2.0 * high
     for _ in range(60):
         middle = 0.5 * (low + high)
         if studentised_range_upper(middle, k, df) > 1.0 - p:

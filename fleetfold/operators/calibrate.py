@@ -146,21 +146,17 @@ def reference_coefficients(cal: DataFrame, monitor: str, pollutant: str) -> Data
 def corrected_reference(
     rows: DataFrame, value: str, monitor: str, baseline: DataFrame
 ) -> DataFrame:
-    """Readings of the reference monitor, corrected; fails if it has no usable coefficients."""
+    """Readings of the reference monitor, corrected; fails if it has no usable coefficients.
+
+    The coefficients are one row, read before the plan is built, so the error does not wait for a
+    reading of the reference monitor and the plan does not carry the fits they come from.
+    """
     prior = reference_coefficients(baseline, monitor, value)
-    slope = prior.select("slope").scalar()
-    intercept = prior.select("intercept").scalar()
-    tagged = rows.where(F.col("monitor") == monitor).withColumns(
-        {"_slope": slope, "_intercept": intercept}
-    )
-    checked = F.when(
-        usable_slope("_slope"), (F.col(value) - F.col("_intercept")) / F.col("_slope")
-    ).otherwise(
-        F.raise_error(F.lit(f"no usable baseline coefficients for {monitor} ({value})")).cast(
-            "double"
-        )
-    )
-    return tagged.select("timestamp", checked.alias("ref_corr"))
+    found = prior.where(usable_slope("slope") & F.col("intercept").isNotNull()).first()
+    if found is None:
+        raise ValueError(f"no usable baseline coefficients for {monitor} ({value})")
+    corrected = (F.col(value) - F.lit(found.intercept)) / F.lit(found.slope)
+    return rows.where(F.col("monitor") == monitor).select("timestamp", corrected.alias("ref_corr"))
 
 
 def calibrate_on_reference(
@@ -192,7 +188,8 @@ def calibrate_windows(
 ) -> DataFrame:
     """All windows of all pollutants in order; a later window may use the fits of an earlier one.
 
-    The loop only builds plans: one small table of coefficients per (window, pollutant).
+    Each fit is a small table of coefficients and is settled, so plans grow with the windows, not by
+    a factor for each one that builds on another.
     """
     parts: list[DataFrame] = [] if baseline is None else [baseline]
     for window in settings.windows:
@@ -208,7 +205,7 @@ def calibrate_windows(
                 fit = calibrate_on_reference(
                     df, pollutant, window, settings.fit, known, roster, fitted_on
                 )
-            fresh.append(fit)
+            fresh.append(settle(fit))
         parts.extend(fresh)
     return reduce(DataFrame.unionByName, parts)
 
@@ -328,7 +325,7 @@ def use_raw_for(df: DataFrame, value: str, corrected_roster: DataFrame, name: st
     """Corrected values for the monitors of the roster, raw ones for all others."""
     known = corrected_roster.select("monitor", F.lit(True).alias("_listed")).distinct()
     chosen = F.when(F.col("_listed"), F.col(value)).otherwise(F.col(f"{value}_raw"))
-    return df.join(known, "monitor", "left").withColumn(name, chosen).drop("_listed")
+    return df.join(settle(known), "monitor", "left").withColumn(name, chosen).drop("_listed")
 
 
 def tag_fleet_phase(
@@ -353,7 +350,7 @@ def tag_fleet_phase(
 
     chain = phases(phases(F, "original", original, "w1_colocation"), "new", new, "w2_colocation")
     return (
-        df.join(fleets, "monitor", "left")
+        df.join(settle(fleets), "monitor", "left")
         .withColumn("fleet", F.coalesce("fleet", F.lit("unknown")))
         .withColumn("phase", chain.otherwise("other"))
     )

@@ -187,7 +187,7 @@ def feed_summary(hours: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     possible = (end - start).days * 24
 
     def percent(hours_column: str) -> Column:
-        return F.bround(F.col(hours_column) / possible * 100, 2)
+        return F.bround(F.try_divide(F.col(hours_column), F.lit(possible)) * 100, 2)
 
     totals = per_day.groupBy("monitor").agg(
         F.min("sd_first").alias("sd_earliest_timestamp"),

@@ -31,9 +31,9 @@ def leave_one_out(
     )
     own = F.col(value)
     n = F.col("n_reporting")
-    others = (F.col("_sum") - own) / (n - 1)
+    others = F.try_divide(F.col("_sum") - own, n - 1)
     if mode == "others":
-        others = F.when(own.isNull(), F.col("_sum") / n).otherwise(others)
+        others = F.when(own.isNull(), F.try_divide(F.col("_sum"), n)).otherwise(others)
     return (
         df.join(sums, time, "left")
         .withColumn(name, F.when(n - 1 >= min_others, others))
@@ -74,7 +74,9 @@ def tune_min_others(
         "min_active",
         F.sqrt(F.col("sse") / n).alias("rmse"),
         (F.col("sae") / n).alias("mae"),
-        (1 - F.col("sse") / (F.col("syy") - F.col("sy") * F.col("sy") / n)).alias("r2"),
+        (
+            1 - F.try_divide(F.col("sse"), F.col("syy") - F.col("sy") * F.col("sy") / n)
+        ).alias("r2"),
     )
 
 

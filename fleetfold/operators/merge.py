@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.columns import null_if_all_null
 from fleetfold.operators.ordering import first_per_key
+from fleetfold.session import settle
 
 KEY = ["monitor", "timestamp"]
 
@@ -90,16 +91,22 @@ def combine_channels(
     """Full outer join of one-channel tables on ``keys``, written as one union and one grouping.
 
     Each table holds a key once, so the outer-join chain of n tables equals a conditional maximum
-    per channel: one shuffle with map-side combine instead of n - 1 joins. Grouping matches null
-    keys with each other, as the natural join does.
+    per channel: one shuffle with map-side combine instead of n - 1 joins. A second value of a
+    channel under one key is an error, never mixed. Grouping matches null keys with each other, as
+    the natural join does.
     """
     keys = list(keys)
     names = list(channels)
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), list(channels.values())
     )
+
+    def only(name: str) -> Column:
+        repeated = F.raise_error(F.lit(f"channel {name} has several values under one key"))
+        return F.when(F.count(name) > 1, repeated).otherwise(F.max(name)).alias(name)
+
     return stacked.groupBy(*keys).agg(
-        *[F.max(n).alias(n) for n in names],
+        *[only(n) for n in names],
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
 
@@ -136,7 +143,8 @@ def left_join_summaries(
 
 
 def restrict_to(df: DataFrame, roster: DataFrame, key: str = "monitor") -> DataFrame:
-    return df.join(roster.select(key).distinct(), key, "left_semi")
+    """Rows of the roster's keys; the roster is settled, so that few keys never shuffle the rows."""
+    return df.join(settle(roster.select(key).distinct()), key, "left_semi")
 
 
 def new_monitors(df: DataFrame, roster: DataFrame, start, end) -> DataFrame:
@@ -155,7 +163,7 @@ def with_missing_monitors(inventory: DataFrame, roster: DataFrame) -> DataFrame:
 
 def valid_since(df: DataFrame, starts: DataFrame, start: str = "start_date") -> DataFrame:
     """Drop rows from before the start of a monitor; monitors without a start keep all rows."""
-    joined = df.join(starts.select("monitor", start), "monitor", "left")
+    joined = df.join(settle(starts.select("monitor", start)), "monitor", "left")
     return joined.where((F.col("date") >= F.col(start)) | F.col(start).isNull()).drop(start)
 
 

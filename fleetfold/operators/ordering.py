@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` of which a null matches a null: the keys, then the other columns of each side."""
+    keys = list(keys)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    others = [c for df in (left, right) for c in df.columns if c not in keys]
+    return left.join(renamed, same, how).select(*keys, *others)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Bring one-row-per-key ``stats``, computed from ``df``, back to its rows.
 
@@ -37,7 +47,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
     first, so that its measured size decides between a broadcast and a shuffled join.
     """
     if keys:
-        return df.join(settle(stats), list(keys), how)
+        return join_on(df, settle(stats), keys, how)
     names = stats.columns
     packed = stats.select(F.struct(*names).alias("_s")).scalar()
     return df.withColumn("_s", packed).select(*df.columns, *[F.col(f"_s.{n}") for n in names])
@@ -86,8 +96,11 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFram
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        bucketed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
+        join_on(
+            bucketed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))),
+            offsets,
+            [*keys, "_bucket"],
+        )
         .select(*keys, value, "n", (F.col("_offset") + F.col("_inside")).alias("n_below"))
     )
 
@@ -221,7 +234,7 @@ def day_block_split(
         *strata,
         F.when(F.row_number().over(order) <= wanted, "test").otherwise("train").alias(name),
     )
-    return df.join(settle(labelled), [day, *strata])
+    return join_on(df, settle(labelled), [day, *strata])
 
 
 def day_fold(day: Column | str, folds: int, seed: str = "123") -> Column:

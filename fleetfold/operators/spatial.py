@@ -169,17 +169,21 @@ def moran_test(
     )
     row = attach(attach(attach(moments, lagged, []), s1, []), s2, [])
     n, s0 = F.col("n"), F.col("s0")
-    kurtosis = n * F.col("m4") / (F.col("m2") * F.col("m2"))
-    expected = -1 / (n - 1)
+    # undefined for equal values and, its variance, for three points or fewer: null, not an error
+    kurtosis = F.try_divide(n * F.col("m4"), F.col("m2") * F.col("m2"))
+    expected = F.try_divide(F.lit(-1.0), n - 1)
     top = n * ((n * n - 3 * n + 3) * F.col("s1") - n * F.col("s2") + 3 * s0 * s0)
     tail = kurtosis * ((n * n - n) * F.col("s1") - 2 * n * F.col("s2") + 6 * s0 * s0)
-    variance = (top - tail) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - expected * expected
+    variance = F.try_divide(
+        top - tail, (n - 1) * (n - 2) * (n - 3) * s0 * s0
+    ) - expected * expected
     table = row.select(
-        (n / s0 * F.col("cross") / F.col("m2")).alias("observed"),
+        F.try_divide(F.try_divide(n, s0) * F.col("cross"), F.col("m2")).alias("observed"),
         expected.alias("expected"),
         variance.alias("variance"),
     ).withColumn(
-        "z_score", (F.col("observed") - F.col("expected")) / F.sqrt("variance")
+        "z_score",
+        F.try_divide(F.col("observed") - F.col("expected"), F.sqrt("variance")),
     )
     return table.withColumn("p_value", normal_upper_pvalue("z_score"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfold.functions.distributions import (
@@ -14,7 +14,7 @@ from fleetfold.functions.distributions import (
     tukey_critical,
     tukey_pvalue,
 )
-from fleetfold.operators.ordering import attach, value_ranks
+from fleetfold.operators.ordering import attach, join_on, value_ranks
 
 
 def error_metrics(
@@ -37,14 +37,14 @@ def error_metrics(
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            (1 - F.sum(miss * miss) / F.regr_syy(y, p)).alias("r2"),
+            (1 - F.try_divide(F.sum(miss * miss), F.regr_syy(y, p))).alias("r2"),
             F.sqrt(F.avg(miss * miss)).alias("rmse"),
             F.avg(F.abs(miss)).alias("mae"),
             F.avg(miss).alias("bias"),
-            (F.sum(F.abs(miss - F.col("_bias"))) / F.sum(y)).alias("cvmae"),
-            (F.sum(miss) / F.sum(y)).alias("mnb"),
-            (F.sum(F.abs(miss)) / F.sum(y)).alias("nmae"),
-            (F.sqrt(F.avg(miss * miss)) / F.avg(y) * 100).alias("nrmse_pct"),
+            F.try_divide(F.sum(F.abs(miss - F.col("_bias"))), F.sum(y)).alias("cvmae"),
+            F.try_divide(F.sum(miss), F.sum(y)).alias("mnb"),
+            F.try_divide(F.sum(F.abs(miss)), F.sum(y)).alias("nmae"),
+            (F.try_divide(F.sqrt(F.avg(miss * miss)), F.avg(y)) * 100).alias("nrmse_pct"),
             F.regr_r2(y, p).alias("pearson_r2"),
             F.regr_slope(y, p).alias("cal_slope"),
             F.regr_intercept(y, p).alias("cal_intercept"),
@@ -80,12 +80,14 @@ def _level_moments(df: DataFrame, value: str, level: str, keys: Sequence[str]) -
 
 
 def _decomposition(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    # one row per level: the grand mean is known before squares are added, so nothing cancels
     n, mean = F.col("n"), F.col("mean")
-    total = F.sum(n * mean)
-    return moments.groupBy(*keys).agg(
+    group = Window.partitionBy(*keys)
+    off = mean - F.sum(n * mean).over(group) / F.sum(n).over(group)
+    return moments.withColumn("_off", off).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"),
         F.sum(n).alias("n_total"),
-        (F.sum(n * mean * mean) - total * total / F.sum(n)).alias("ss_between"),
+        F.sum(n * F.col("_off") * F.col("_off")).alias("ss_between"),
         F.sum((n - 1) * F.col("var")).alias("ss_within"),
     )
 
@@ -100,7 +102,9 @@ def one_way_anova(df: DataFrame, value: str, level: str, keys: Sequence[str] = (
         df2.alias("df_within"),
         "ss_between",
         "ss_within",
-        ((F.col("ss_between") / df1) / (F.col("ss_within") / df2)).alias("f"),
+        F.try_divide(
+            F.try_divide(F.col("ss_between"), df1), F.try_divide(F.col("ss_within"), df2)
+        ).alias("f"),
     )
     return table.withColumn(
         "p_value", f_pvalue("f", F.col("df_between").cast("double"), F.col("df_within").cast("double"))
@@ -118,7 +122,7 @@ def tukey_pairs(df: DataFrame, value: str, level: str, keys: Sequence[str] = ())
         *keys,
         "k",
         (F.col("n_total") - F.col("k")).alias("df"),
-        (F.col("ss_within") / (F.col("n_total") - F.col("k"))).alias("mse"),
+        F.try_divide(F.col("ss_within"), F.col("n_total") - F.col("k")).alias("mse"),
     )
     levels = moments.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(level).alias("level"), "n", "mean"))).alias("l")
@@ -127,16 +131,17 @@ def tukey_pairs(df: DataFrame, value: str, level: str, keys: Sequence[str] = ())
     pairs = first.select(
         *keys, "a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")
     )
-    joined = pairs.join(error, keys) if keys else attach(pairs, error, [])
+    joined = join_on(pairs, error, keys) if keys else attach(pairs, error, [])
     difference = F.col("b.mean") - F.col("a.mean")
     scale = F.sqrt(F.col("mse") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
-    k, freedom = F.col("k").cast("double"), F.col("df").cast("double")
+    k = F.col("k").cast("double")
+    freedom = F.when(F.col("df") > 0, F.col("df").cast("double"))
     table = joined.select(
         *keys,
         F.col("a.level").alias("level_a"),
         F.col("b.level").alias("level_b"),
         difference.alias("diff"),
-        (F.abs(difference) / scale).alias("q"),
+        F.try_divide(F.abs(difference), scale).alias("q"),
         scale.alias("_scale"),
         k.alias("_k"),
         freedom.alias("_df"),
@@ -165,15 +170,16 @@ def welch_test(df: DataFrame, value: str, first: Column, keys: Sequence[str] = (
         ]
 
     sums = df.groupBy(*keys).agg(*part(first, "x"), *part(~first, "y"))
-    sx, sy = F.col("var_x") / F.col("n_x"), F.col("var_y") / F.col("n_y")
+    sx = F.try_divide(F.col("var_x"), F.col("n_x"))
+    sy = F.try_divide(F.col("var_y"), F.col("n_y"))
     table = sums.select(
         *keys,
         "mean_x",
         "mean_y",
-        ((F.col("mean_x") - F.col("mean_y")) / F.sqrt(sx + sy)).alias("t"),
-        (
-            (sx + sy) * (sx + sy)
-            / (sx * sx / (F.col("n_x") - 1) + sy * sy / (F.col("n_y") - 1))
+        F.try_divide(F.col("mean_x") - F.col("mean_y"), F.sqrt(sx + sy)).alias("t"),
+        F.try_divide(
+            (sx + sy) * (sx + sy),
+            F.try_divide(sx * sx, F.col("n_x") - 1) + F.try_divide(sy * sy, F.col("n_y") - 1),
         ).alias("df"),
     )
     return table.withColumn("p_value", t_pvalue("t", "df"))
@@ -197,7 +203,7 @@ def wilcoxon_signed_rank(df: DataFrame, first: str, second: str) -> DataFrame:
     total = F.col("n").cast("double")
     centre = F.col("v") - total * (total + 1) / 4
     spread = F.sqrt(total * (total + 1) * (2 * total + 1) / 24 - F.col("_ties") / 48)
-    z = (centre - F.signum(centre) * 0.5) / spread
+    z = F.try_divide(centre - F.signum(centre) * 0.5, spread)
     scored = sums.withColumn("z", z)
     return scored.select(
         "n",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetfold.functions.calendar import in_cook_time, moment
 from fleetfold.functions.columns import device_class, outside_range, significant, within
 from fleetfold.functions.pairs import PAIR_SCHEMA, pair_sums
-from fleetfold.operators.ordering import attach, exact_quantiles
+from fleetfold.operators.ordering import attach, exact_quantiles, join_on
 from fleetfold.operators.reshape import to_long
 
 
@@ -20,7 +20,7 @@ def monitor_statistics(df: DataFrame, value: str, keys: Sequence[str] = ("monito
         F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("sd_value")
     )
     medians = exact_quantiles(df, value, {"median_value": 0.5}, keys)
-    return moments.join(medians, list(keys), "left")
+    return join_on(moments, medians, keys, "left")
 
 
 def grand_daily_means(daily: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -43,7 +43,7 @@ def quartile_table(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     )
     quartiles = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     rounded = quartiles.select(*keys, *[F.bround(c, 2).alias(c) for c in ("q1", "median", "q3")])
-    return plain.join(rounded, list(keys), "left")
+    return join_on(plain, rounded, keys, "left")
 
 
 def mean_and_spread(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -118,7 +118,7 @@ def wind_rose(
         *keys, sector.cast("int").alias("sector"), label.otherwise(f">{lower:g}").alias("speed")
     ).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    joined = counts.join(totals, list(keys)) if keys else attach(counts, totals, [])
+    joined = join_on(counts, totals, keys) if keys else attach(counts, totals, [])
     return joined.select(
         *keys, "sector", "speed", "n", (F.col("n") / F.col("_total")).alias("share")
     )

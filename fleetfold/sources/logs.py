@@ -165,10 +165,11 @@ def attenuation_rows(
     )
 
 
-def device_serials(files: DataFrame, header_lines: int = 80) -> DataFrame:
-    """Serial number in the header of each file: the first ``deviceSN`` line decides."""
+def device_serials(files: DataFrame, header_lines: int | None = None) -> DataFrame:
+    """Serial number of each file: the first ``deviceSN`` line decides, within ``header_lines`` if given."""
     pattern = r"(?i)^\s*deviceSN\s*[,;\t]\s*"
-    head = F.slice(lines_of("content"), 1, header_lines)
+    lines = lines_of("content")
+    head = lines if header_lines is None else F.slice(lines, 1, header_lines)
     first = F.try_element_at(
         F.filter(head, lambda v: v.rlike(r"(?i)^\s*deviceSN\s*[,;\t]")), F.lit(1)
     )
@@ -179,10 +180,12 @@ def device_serials(files: DataFrame, header_lines: int = 80) -> DataFrame:
     )
 
 
-def audit_folders(files: DataFrame) -> DataFrame:
+def audit_folders(files: DataFrame, header_lines: int | None = None) -> DataFrame:
     """Serial numbers found in each folder against the one its name promises."""
     expected = F.regexp_extract("folder", FOLDER_ID_PATTERN, 0)
-    folders = device_serials(files.where(~F.col("path").contains("/logs/"))).groupBy("folder").agg(
+    folders = device_serials(
+        files.where(~F.col("path").contains("/logs/")), header_lines
+    ).groupBy("folder").agg(
         F.count(F.lit(1)).alias("n_csv"), F.array_sort(F.collect_set("serial")).alias("serials")
     )
     n = F.size("serials")

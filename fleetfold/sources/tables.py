@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetfold.functions.calendar import moment
 from fleetfold.functions.columns import (
@@ -52,15 +54,65 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
 def read_typed(
     spark: SparkSession, paths: str | Sequence[str], schema: str, kind: str = "parquet"
 ) -> DataFrame:
-    """Read CSV or Parquet under a fixed schema; NaN readings become null."""
-    reader = spark.read.schema(schema)
+    """Read CSV or Parquet under a fixed schema; NaN readings become null.
+
+    CSV columns are found by the header of each file, whatever their order; a column that a file
+    lacks is null, others are not read.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
     if kind == "csv":
-        df = reader.option("header", True).csv(paths if isinstance(paths, str) else list(paths))
-    elif kind == "parquet":
-        df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
-    else:
-        raise ValueError(f"unsupported file type {kind!r}")
-    return nulls_for_nan(df)
+        names = schema_names(schema)
+        raw = read_by_header(spark, paths, names)
+        return _typed(raw, names, schema)
+    if kind == "parquet":
+        return nulls_for_nan(spark.read.schema(schema).parquet(*paths))
+    raise ValueError(f"unsupported file type {kind!r}")
+
+
+def schema_names(schema: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in schema.split(",")]
+
+
+def _unique_names(header: Sequence[str]) -> list[str]:
+    """Column names of a header line; unnamed and repeated ones get their position."""
+    names: list[str] = []
+    for i, cell in enumerate(header):
+        name = cell.strip().removeprefix("\ufeff")
+        taken = {n.lower() for n in names}
+        names.append(f"_c{i}" if not name else f"{name}_{i}" if name.lower() in taken else name)
+    return names
+
+
+def read_by_header(
+    spark: SparkSession, paths: Sequence[str], names: Sequence[str], **options
+) -> DataFrame:
+    """The columns ``names`` as text, and ``_path``, from CSV files that each have their own header.
+
+    One job reads the header of every file; files with the same header are then read together, so
+    the plan grows with the different headers, not with the files.
+    """
+    none = empty_table(spark, ", ".join(f"{n} string" for n in [*names, "_path"]))
+    at, start = F.monotonically_increasing_id(), F.col("_metadata.file_block_start")
+    lines = spark.read.options(**options).text(list(paths)).select(
+        F.col("_metadata.file_path").alias("_path"), start.alias("_start"), "value", at.alias("_at")
+    )
+    heads = lines.where("_start = 0").groupBy("_path").agg(F.min_by("value", "_at").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in heads.collect():
+        files.setdefault(row.header.rstrip("\r"), []).append(row._path)
+    out = none
+    for header, members in sorted(files.items()):
+        found = _unique_names(next(csv.reader([header]), []))
+        schema = StructType([StructField(n, StringType()) for n in found])
+        rows = spark.read.options(header=True, mode="PERMISSIVE", **options).schema(schema).csv(list(paths))
+        if len(files) > 1:
+            rows = rows.where(F.col("_metadata.file_path").isin(members))
+        wanted = [F.col(f"`{n}`") for n in names if n in found]
+        out = out.unionByName(
+            rows.select(*wanted, F.col("_metadata.file_path").alias("_path")),
+            allowMissingColumns=True,
+        )
+    return out
 
 
 def nulls_for_nan(df: DataFrame) -> DataFrame:
@@ -107,17 +159,16 @@ def read_cards(
     """Stack processed card files, each with its own columns; missing files are skipped, corrupt
     ones too. With no file at all the result is the empty template.
 
-    Files are read by header name, one reader per path, so their column order may differ.
+    Files are read by header name, so their column order may differ.
     """
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    out = empty_table(spark, schema)
+    names = schema_names(schema)
     present = _existing(spark, paths)
-    for path in present:
-        raw = spark.read.options(
-            header=True, mode="PERMISSIVE", ignoreCorruptFiles=True, ignoreMissingFiles=True
-        ).csv(path)
-        out = out.unionByName(_typed(raw, names, schema), allowMissingColumns=True)
-    return out.withColumn("source", F.lit("sd_card"))
+    if not present:
+        return empty_table(spark, schema).withColumn("source", F.lit("sd_card"))
+    raw = read_by_header(
+        spark, present, names, ignoreCorruptFiles=True, ignoreMissingFiles=True
+    )
+    return _typed(raw, names, schema).withColumn("source", F.lit("sd_card"))
 
 
 def _typed(raw: DataFrame, names: Sequence[str], schema: str) -> DataFrame:
@@ -137,10 +188,8 @@ def read_device_files(
     limit_pm10: bool = True,
 ) -> DataFrame:
     """Card files of one device class; the monitor id comes from the file name."""
-    raw = spark.read.options(header=True, mode="PERMISSIVE").csv(list(paths))
-    return device_rows(
-        raw.withColumn("_path", F.col("_metadata.file_path")), channels, limit_pm10=limit_pm10
-    )
+    raw = read_by_header(spark, paths, ["timestamp_iso", *channels])
+    return device_rows(raw, channels, limit_pm10=limit_pm10)
 
 
 def device_rows(

@@ -68,7 +68,9 @@ def test_inventory_and_audit(spark, tmp_path):
         ("MOD-PM-00002", "2025-03-17"), ("MOD-PM-00003", "2025-03-17"),
     }
     files = logs.read_whole_files(spark, [str(p) for p in base.glob("*/*.csv")])
-    audit = {r.folder: r for r in logs.audit_folders(files).collect()}
+    whole = {r.folder: r for r in logs.audit_folders(files).collect()}
+    assert whole["MOD_PM_00002"].device_sns == "MOD-PM-00002"
+    audit = {r.folder: r for r in logs.audit_folders(files, header_lines=80).collect()}
     assert audit["MOD_PM_00001"].has_multiple_sns
     assert audit["MOD_PM_00002"].missing_device_sn
     assert audit["MOD_PM_00003"].single_sn_mismatch and audit["MOD_PM_00003"].n_csv == 2
@@ -102,3 +104,33 @@ def test_settings_from_yaml(tmp_path):
     )
     settings = settings_from_yaml(path)
     assert settings.fit.min_points == 5 and settings.window("w").end == dt.date(2024, 1, 5)
+
+
+def test_columns_follow_the_header_of_each_file(spark, tmp_path):
+    write(tmp_path / "t" / "a b.csv", "intercept,slope,monitor\n5.0,2.0,M1\n")
+    write(tmp_path / "t" / "b.csv", "﻿monitor,extra,slope,slope\nM2,x,3.0,9.0\n")
+    write(tmp_path / "t" / "c.csv", "monitor,slope,intercept\n")
+    df = tables.read_typed(
+        spark, str(tmp_path / "t"), "monitor string, slope double, intercept double", "csv"
+    )
+    assert sorted(tuple(r) for r in df.collect()) == [("M1", 2.0, 5.0), ("M2", 3.0, None)]
+
+
+def test_device_files_with_swapped_channels(spark, tmp_path):
+    paths = [
+        write(tmp_path / "MOD-00001_a.csv", "timestamp_iso,pm1,pm25\n2024-01-01 00:00:00,1,25\n"),
+        write(tmp_path / "MOD-00002_b.csv", "pm25,timestamp_iso,pm1\n25,2024-01-01 00:00:00,1\n"),
+        write(tmp_path / "MOD-00003_c.csv", "timestamp_iso,pm25\n2024-01-01 00:00:00,25\n"),
+    ]
+    rows = tables.read_device_files(spark, paths, ["pm1", "pm25"], limit_pm10=False).collect()
+    assert sorted((r.monitor, r.pm1, r.pm25) for r in rows) == [
+        ("MOD-00001", 1.0, 25.0), ("MOD-00002", 1.0, 25.0), ("MOD-00003", None, 25.0)
+    ]
+
+
+def test_many_files_of_one_header_are_one_scan(spark, tmp_path):
+    for i in range(40):
+        write(tmp_path / "many" / f"{i}.csv", f"monitor,slope\nM{i},{i}\n")
+    df = tables.read_typed(spark, str(tmp_path / "many"), "monitor string, slope double", "csv")
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert df.count() == 40
