@@ -153,7 +153,7 @@ def a07(spark, sf):
 
 @query(
     "a07_feed_against_feed",
-    """SELECT c.monitor, regr_count(s.pm25, c.pm25) AS n_points,
+    """SELECT c.monitor, CAST(regr_count(s.pm25, c.pm25) AS BIGINT) AS n_points,
               round(regr_slope(s.pm25, c.pm25), 6) AS slope, round(regr_r2(s.pm25, c.pm25), 6) AS r2
        FROM cloud c JOIN card s ON c.monitor = s.monitor AND c.timestamp = s.timestamp_iso
        GROUP BY 1""",
