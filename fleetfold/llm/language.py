@@ -83,17 +83,23 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
+def _once_per_text(digests: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((digests, owners))
+    digests, owners = digests[order], owners[order]
+    again = (digests[1:] == digests[:-1]) & (owners[1:] == owners[:-1])
+    kept = np.r_[True, ~again][: len(digests)]
+    return digests[kept], owners[kept]
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, texts): in how many texts of the chunk each n-gram occurs."""
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
         for first, chunk in _chunks(texts):
-            digests, owners = grams(chunk)
+            digests, owners = _once_per_text(*grams(chunk))
             for lang in set(langs[first : first + len(chunk)]):
-                mine = np.flatnonzero(langs[first : first + len(chunk)] == lang)
-                chosen = np.isin(owners, mine)
-                pair = np.unique(np.stack([owners[chosen].astype(np.uint64), digests[chosen]]), axis=1)[1]
-                gram, n = np.unique(pair, return_counts=True)
+                mine = langs[first : first + len(chunk)] == lang
+                gram, n = np.unique(digests[mine[owners]], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))],
                     ["lang", "gram", "texts"],
