@@ -1,9 +1,12 @@
 """Neighbours, roads and spatial autocorrelation without all-pairs joins.
 
 Coordinates are planar (projected, or degrees over a small area). All searches use a hierarchy of
-square grids, level l having cells of ``extent / 2**l``: each point searches at the level where its
+square grids, level l having cells of ``size / 2**l``: each point searches at the level where its
 surroundings hold just enough candidates, so dense towns and empty country cost the same. Results
 are exact; there is no limit on distance or candidates.
+
+The grids start at the smallest coordinates, moved by a share of their size that is no fraction of a
+power of two, so that no coordinate is a cell border at every level.
 """
 
 from __future__ import annotations
@@ -18,16 +21,23 @@ from fleetfold.operators.ordering import attach, top_per_key
 from fleetfold.session import cut_lineage
 
 LEVELS = 20
+GRID_SHIFT = 0.3819660113
+
+
+def _grid(x0: Column, x1: Column, y0: Column, y1: Column, spreads: float) -> Column:
+    """Origin of the grids and their size, ``spreads`` times that of the data."""
+    size = spreads * F.greatest(x1 - x0, y1 - y0, F.lit(1e-9))
+    return F.struct(x0.alias("x"), y0.alias("y"), size.alias("size")).alias("_extent")
 
 
-def _cell(value: Column | str, level: Column, extent: Column) -> Column:
+def _cell(value: Column | str, level: Column, grid: Column, axis: str) -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    return F.floor(value * F.pow(F.lit(2.0), level) / extent)
+    return F.floor(((value - grid[axis]) / grid["size"] + GRID_SHIFT) * F.pow(F.lit(2.0), level))
 
 
-def _level_for(size: Column, extent: Column, levels: int) -> Column:
+def _level_for(size: Column, grid: Column, levels: int) -> Column:
     """Finest level whose cells are at least ``size`` wide."""
-    fitting = F.floor(F.log2(extent / size))
+    fitting = F.floor(F.log2(grid["size"] / size))
     bounded = F.least(F.greatest(fitting, F.lit(0)), F.lit(levels - 1))
     return F.when(size <= 0, levels - 1).otherwise(bounded).cast("int")
 
@@ -54,9 +64,7 @@ def nearest_neighbours(
     it at the finest level where its own cell holds k + 1 candidates: those lie within one cell
     diagonal, which the block covers.
     """
-    spread = points.agg(
-        F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y), F.lit(1e-9)).alias("_extent")
-    )
+    spread = points.agg(_grid(F.min(x), F.max(x), F.min(y), F.max(y), 1.0))
     at = [F.col(x).alias("_x"), F.col(y).alias("_y")]
     placed = attach(points.select(F.col(key).alias("_id"), *at), spread, [])
     candidates = top_per_key(placed, ["_x", "_y"], [F.col("_id")], k + 1).drop("_rank")
@@ -65,7 +73,7 @@ def nearest_neighbours(
 
     def on_grid(df: DataFrame) -> DataFrame:
         return df.select("*", F.explode(_level_list(levels)).alias("_level")).withColumns(
-            {"_cx": _cell("_x", level, extent), "_cy": _cell("_y", level, extent)}
+            {"_cx": _cell("_x", level, extent, "x"), "_cy": _cell("_y", level, extent, "y")}
         )
 
     cell = ["_level", "_cx", "_cy"]
@@ -88,8 +96,8 @@ def nearest_neighbours(
             "_x",
             "_y",
             "_level",
-            (_cell("_x", level, extent) + F.col("_o.i")).alias("_cx"),
-            (_cell("_y", level, extent) + F.col("_o.j")).alias("_cy"),
+            (_cell("_x", level, extent, "x") + F.col("_o.i")).alias("_cx"),
+            (_cell("_y", level, extent, "y") + F.col("_o.j")).alias("_cy"),
         )
     )
     reachable = gridded.join(probes.select(*cell).distinct(), cell, "left_semi")
@@ -227,11 +235,7 @@ def _extent(points: DataFrame, segments: DataFrame, x: str, y: str) -> DataFrame
         .union(segments.select("x1", "y1"))
         .union(segments.select("x2", "y2"))
     )
-    return ends.agg(
-        (
-            2 * F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
-        ).alias("_extent")
-    )
+    return ends.agg(_grid(F.min("x"), F.max("x"), F.min("y"), F.max("y"), 2.0))
 
 
 def _register(segments: DataFrame, extent: DataFrame, levels: int) -> DataFrame:
@@ -246,21 +250,21 @@ def _register(segments: DataFrame, extent: DataFrame, levels: int) -> DataFrame:
     )
     level, size = F.col("_level"), F.col("_extent")
 
-    def cells(a: str, b: str) -> Column:
+    def cells(a: str, b: str, axis: str) -> Column:
         return F.sequence(
-            _cell(F.least(a, b), level, size), _cell(F.greatest(a, b), level, size)
+            _cell(F.least(a, b), level, size, axis), _cell(F.greatest(a, b), level, size, axis)
         )
 
     return (
         natural.withColumn("_level", F.explode(F.sequence(F.lit(0), "_natural")))
         .withColumns(
             {
-                "_minx": _cell(F.least("x1", "x2"), level, size),
-                "_miny": _cell(F.least("y1", "y2"), level, size),
+                "_minx": _cell(F.least("x1", "x2"), level, size, "x"),
+                "_miny": _cell(F.least("y1", "y2"), level, size, "y"),
             }
         )
-        .withColumn("_cx", F.explode(cells("x1", "x2")))
-        .withColumn("_cy", F.explode(cells("y1", "y2")))
+        .withColumn("_cx", F.explode(cells("x1", "x2", "x")))
+        .withColumn("_cy", F.explode(cells("y1", "y2", "y")))
         .withColumn(
             "_own",
             F.explode(
@@ -285,8 +289,8 @@ def _near(points: DataFrame, registered: DataFrame, levels: int) -> DataFrame:
         .withColumn("_level", F.explode(F.sequence(F.lit(0), "_finest")))
         .withColumns(
             {
-                "_pcx": _cell("_px", level, size),
-                "_pcy": _cell("_py", level, size),
+                "_pcx": _cell("_px", level, size, "x"),
+                "_pcy": _cell("_py", level, size, "y"),
                 "_own": level < F.col("_finest"),
             }
         )
@@ -332,11 +336,11 @@ def nearest_segment(
     level, size = F.col("_level"), F.col("_extent")
     bounds = (
         at.withColumn("_level", F.explode(_level_list(levels)))
-        .withColumns({"_cx": _cell("_px", level, size), "_cy": _cell("_py", level, size)})
+        .withColumns({"_cx": _cell("_px", level, size, "x"), "_cy": _cell("_py", level, size, "y")})
         .join(samples, ["_level", "_cx", "_cy"], "left")
         .groupBy(key, "_px", "_py", "_extent")
         .agg(F.min(segment_distance("_px", "_py")).alias("_reach"))
-        .withColumn("_reach", F.coalesce("_reach", "_extent"))
+        .withColumn("_reach", F.coalesce("_reach", "_extent.size"))
     )
     # distances that agree to twelve decimals are ties, decided by the attributes in ``keep``
     distance = F.round(segment_distance("_px", "_py"), 12)
