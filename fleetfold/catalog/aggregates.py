@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold.catalog import fixtures as fx
@@ -187,16 +189,26 @@ def a08(spark, sf):
 
 @query(
     "a08_gas_regressions_against_reference",
-    """SELECT g.monitor, count(*) AS "N",
-              CASE WHEN count(*) > 1 THEN round_even(regr_slope(g.co, r.co), 2) END AS slope,
-              CASE WHEN count(*) > 1 THEN round_even(regr_intercept(g.co, r.co), 2) END AS intercept
-       FROM gas_hours g JOIN gas_hours r ON g.timestamp = r.timestamp AND r.monitor = 'MOD-00000'
-       WHERE g.co IS NOT NULL AND r.co IS NOT NULL GROUP BY 1""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS gas, g.monitor, count(*) AS "N",
+              CASE WHEN count(*) > 1 THEN round_even(regr_slope(g.{c}, r.{c}), 2) END AS slope,
+              CASE WHEN count(*) > 1 THEN round_even(regr_intercept(g.{c}, r.{c}), 2) END
+                AS intercept
+            FROM gas_hours g
+            JOIN gas_hours r ON g.timestamp = r.timestamp AND r.monitor = 'MOD-00000'
+            WHERE g.{c} IS NOT NULL AND r.{c} IS NOT NULL GROUP BY g.monitor"""
+        for c in fx.GASES
+    ),
 )
 def a08_gas(spark, sf):
-    paired = calibrate.with_reference_channels(fx.gas_hours(spark, sf), fx.REFERENCE, ["co"])
-    return calibrate.regression_table(paired, "co", "reference_co").select(
-        "monitor", "N", "slope", "intercept"
+    paired = calibrate.with_reference_channels(fx.gas_hours(spark, sf), fx.REFERENCE, fx.GASES)
+    gases = [
+        F.struct(F.lit(g).alias("gas"), F.col(g).alias("y"), F.col(f"reference_{g}").alias("x"))
+        for g in fx.GASES
+    ]
+    long = paired.select("monitor", F.explode(F.array(*gases)).alias("p")).select("monitor", "p.*")
+    return calibrate.regression_table(long, "y", "x", ["gas", "monitor"]).select(
+        "gas", "monitor", "N", "slope", "intercept"
     )
 
 
@@ -373,20 +385,18 @@ FEED_HOURS_SQL = """
            CASE WHEN s.n > 1 THEN 1 WHEN s.n IS NOT NULL THEN 0 END AS hour_complete_sd,
            CASE WHEN c.n >= 2 THEN 1 WHEN c.n IS NOT NULL THEN 0 END AS hour_complete_cloud
     FROM (SELECT monitor, date_trunc('hour', timestamp_iso) AS h, count(*) AS n FROM card
-          WHERE timestamp_iso < TIMESTAMP '2024-01-25' GROUP BY 1, 2) s
+          GROUP BY 1, 2) s
     FULL JOIN (SELECT monitor, date_trunc('hour', timestamp) AS h, count(*) AS n FROM cloud
-               WHERE pm25 IS NOT NULL AND timestamp >= TIMESTAMP '2024-01-04' GROUP BY 1, 2) c
+               WHERE pm25 IS NOT NULL GROUP BY 1, 2) c
       ON s.monitor = c.monitor AND s.h = c.h"""
 
 
 def feed_hours(spark, sf):
-    card = completeness.hour_counts(
-        fx.card(spark, sf).where("timestamp_iso < TIMESTAMP_NTZ '2024-01-25'"), "timestamp_iso"
-    ).withColumn("hour_complete_sd", completeness.enough("obs_in_hour", 1, True))
+    card = completeness.hour_counts(fx.card(spark, sf), "timestamp_iso").withColumn(
+        "hour_complete_sd", completeness.enough("obs_in_hour", 1, True)
+    )
     cloud = completeness.hour_counts(
-        fx.cloud(spark, sf).where(
-            "pm25 IS NOT NULL AND timestamp >= TIMESTAMP_NTZ '2024-01-04'"
-        )
+        fx.cloud(spark, sf).where("pm25 IS NOT NULL")
     ).withColumn("hour_complete_cloud", completeness.enough("obs_in_hour", 2))
     return completeness.both_feeds_by_hour(card, cloud)
 
@@ -530,6 +540,9 @@ MISSING_DAY_SQL = """
       GROUP BY 1, 2, 3) GROUP BY 1, 2"""
 
 
+MONTH = [dt.date(2024, 1, day) for day in range(1, 32)]
+
+
 @query("a22_missing_hours_per_day", MISSING_DAY_SQL)
 def a22(spark, sf):
     return completeness.missing_hours_per_day(fx.readings(spark, sf), "pm25", 0)
@@ -537,15 +550,12 @@ def a22(spark, sf):
 
 @query(
     "a22_missing_hours_wide",
-    f"""SELECT monitor, max(n) FILTER (d = '2024-01-05') AS "2024-01-05",
-               max(n) FILTER (d = '2024-01-06') AS "2024-01-06"
+    f"""SELECT monitor, {", ".join(f"max(n) FILTER (d = '{d}') AS \"{d}\"" for d in MONTH)}
         FROM (SELECT monitor, CAST(date AS VARCHAR) AS d, hours_missing_day AS n
               FROM ({MISSING_DAY_SQL})) GROUP BY monitor""",
 )
 def a22_wide(spark, sf):
-    return completeness.missing_hours_wide(
-        fx.readings(spark, sf), "pm25", [dt.date(2024, 1, 5), dt.date(2024, 1, 6)], 0
-    )
+    return completeness.missing_hours_wide(fx.readings(spark, sf), "pm25", MONTH, 0)
 
 
 STATUS_SQL = """
@@ -897,13 +907,21 @@ def a38(spark, sf):
 
 @query(
     "a39_monitor_pairs",
-    """SELECT a.monitor AS monitor_x, b.monitor AS monitor_y, count(*) AS n,
-              round(corr(a.co, b.co), 7) AS correlation, round(regr_slope(b.co, a.co), 7) AS slope
-       FROM gas_hours a JOIN gas_hours b ON a.timestamp = b.timestamp
-       WHERE a.co IS NOT NULL AND b.co IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 2""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS gas, a.monitor AS monitor_x, b.monitor AS monitor_y, count(*) AS n,
+              round(corr(a.{c}, b.{c}), 7) AS correlation,
+              round(regr_slope(b.{c}, a.{c}), 7) AS slope
+            FROM gas_hours a JOIN gas_hours b ON a.timestamp = b.timestamp
+            WHERE a.{c} IS NOT NULL AND b.{c} IS NOT NULL GROUP BY 2, 3 HAVING count(*) > 2"""
+        for c in fx.GASES
+    ),
 )
 def a39(spark, sf):
-    pairs = trends.monitor_pairs(fx.gas_hours(spark, sf), "co")
+    tables = [
+        trends.monitor_pairs(fx.gas_hours(spark, sf), g).select(F.lit(g).alias("gas"), "*")
+        for g in fx.GASES
+    ]
+    pairs = reduce(DataFrame.unionByName, tables)
     return rounded(pairs.where("n > 2"), "correlation", "slope", digits=7)
 
 

@@ -370,12 +370,12 @@ def j20(spark, sf):
        FROM (SELECT DISTINCT monitor FROM readings) m,
             (SELECT CAST(unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05',
                     INTERVAL 1 DAY)) AS DATE) AS date) g
-       LEFT JOIN (SELECT monitor, date, count(pm25) AS n FROM readings WHERE pm25 > 80 GROUP BY 1, 2) c
+       LEFT JOIN (SELECT monitor, date, count(pm25) AS n FROM readings GROUP BY 1, 2) c
          ON c.monitor = m.monitor AND c.date = g.date""",
 )
 def j21(spark, sf):
     df = fx.readings(spark, sf)
-    counts = df.where("pm25 > 80").groupBy("monitor", "date").agg(F.count("pm25").alias("n"))
+    counts = df.groupBy("monitor", "date").agg(F.count("pm25").alias("n"))
     calendar = merge.full_calendar(
         df, "date", F.lit(dt.date(2023, 12, 25)), F.lit(dt.date(2024, 2, 5)), "1 day"
     )
@@ -387,13 +387,13 @@ def j21(spark, sf):
     """SELECT s.monitor, s.date, c.n FROM (
          SELECT monitor, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP),
                 CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date
-         FROM readings WHERE pm25 > 200 GROUP BY monitor) s
-       LEFT JOIN (SELECT monitor, date, count(*) AS n FROM readings WHERE pm25 > 200 GROUP BY 1, 2) c
+         FROM readings GROUP BY monitor) s
+       LEFT JOIN (SELECT monitor, date, count(*) AS n FROM readings GROUP BY 1, 2) c
          ON c.monitor = s.monitor AND c.date = s.date""",
 )
 def j21_own(spark, sf):
     counts = (
-        fx.readings(spark, sf).where("pm25 > 200").groupBy("monitor", "date")
+        fx.readings(spark, sf).groupBy("monitor", "date")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     calendar = merge.own_calendar(counts, "date", "1 day")
@@ -561,14 +561,18 @@ def r01(spark, sf):
     )
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query(
     "r02_pivot_wider",
-    """SELECT date, hour, max(pm25) FILTER (event_type = 'click') AS click,
-              max(pm25) FILTER (event_type = 'view') AS view FROM readings GROUP BY 1, 2""",
+    f"""SELECT date, hour,
+               {", ".join(f"max(pm25) FILTER (event_type = '{e}') AS {e}" for e in EVENT_TYPES)}
+        FROM readings GROUP BY 1, 2""",
 )
 def r02(spark, sf):
     return reshape.to_wide(
-        fx.readings(spark, sf), ["date", "hour"], "event_type", "pm25", ["click", "view"]
+        fx.readings(spark, sf), ["date", "hour"], "event_type", "pm25", EVENT_TYPES
     )
 
 
@@ -668,18 +672,20 @@ def r06(spark, sf):
     )
 
 
+MONTH = [str(dt.date(2024, 1, day)) for day in range(1, 32)]
+
+
 @query(
     "r08_completeness_matrix",
-    """SELECT monitor, max(p) FILTER (d = '2024-01-02') AS "2024-01-02",
-              max(p) FILTER (d = '2024-01-03') AS "2024-01-03"
-       FROM (SELECT monitor, CAST(date AS VARCHAR) AS d, count(DISTINCT hour) / 24.0::DOUBLE AS p
-             FROM hourly WHERE mean_pm25 IS NOT NULL GROUP BY 1, 2) GROUP BY monitor""",
+    f"""SELECT monitor, {", ".join(f"max(p) FILTER (d = '{d}') AS \"{d}\"" for d in MONTH)}
+        FROM (SELECT monitor, CAST(date AS VARCHAR) AS d, count(DISTINCT hour) / 24.0::DOUBLE AS p
+              FROM hourly WHERE mean_pm25 IS NOT NULL GROUP BY 1, 2) GROUP BY monitor""",
 )
 def r08(spark, sf):
     share = completeness.daily_hour_share(fx.hourly(spark, sf), "mean_pm25").withColumn(
         "date", F.col("date").cast("string")
     )
-    return reshape.to_wide(share, ["monitor"], "date", "pct_complete", ["2024-01-02", "2024-01-03"])
+    return reshape.to_wide(share, ["monitor"], "date", "pct_complete", MONTH)
 
 
 # --- windows and ordering -----------------------------------------------------------------------

@@ -61,10 +61,12 @@ def model_table(
 ) -> DataFrame:
     """Device hours joined to reference hours, with features, split by whole days and numbered.
 
-    Overlapping batches keep the first row of an hour; ``starts`` gives the first valid day of
-    single monitors; ``target`` is the column of the reference to learn.
+    Overlapping batches keep the first row of an hour, rows of one batch being ordered by their
+    readings; ``starts`` gives the first valid day of single monitors; ``target`` is the column of
+    the reference to learn.
     """
-    devices = stack_batches(batches, HOUR_KEYS)
+    readings = [F.col(c) for c in batches[0].columns if c not in HOUR_KEYS]
+    devices = stack_batches(batches, HOUR_KEYS, readings)
     if starts is not None:
         devices = valid_since(devices, starts)
     joined = devices.join(

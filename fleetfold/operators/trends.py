@@ -190,13 +190,16 @@ def monitor_pairs(df: DataFrame, value: str, time: Sequence[str] = ("date", "hou
     """Pearson correlation and slope (y on x) of every ordered pair of monitors.
 
     A time step is one row holding the vector of the fleet; tasks reduce thousands of steps to
-    one matrix of sums per batch, so pairs are never listed per time step.
+    one matrix of sums per batch, so pairs are never listed per time step. Readings are counted
+    from the monitor's smallest, so that sums of squares of large values do not cancel.
     """
     one_each = df.where(F.col(value).isNotNull()).groupBy(*time, "monitor").agg(
         F.avg(value).alias("_v")
     )
-    vectors = one_each.groupBy(*time).agg(
-        F.collect_list(F.struct("monitor", F.col("_v").alias("v"))).alias("_pairs")
+    least = one_each.groupBy("monitor").agg(F.min("_v").alias("_least"))
+    above = (F.col("_v") - F.col("_least")).alias("v")
+    vectors = attach(one_each, least, ["monitor"]).groupBy(*time).agg(
+        F.collect_list(F.struct("monitor", above)).alias("_pairs")
     )
     sums = (
         vectors.select(

@@ -286,3 +286,32 @@ def test_wilcoxon_and_welch_small_cases(spark):
     sx, sy = np.var(x, ddof=1) / 4, np.var(y, ddof=1) / 5
     assert w.t == pytest.approx((np.mean(x) - np.mean(y)) / math.sqrt(sx + sy))
     assert 0 < w.p_value < 1
+
+
+@pytest.mark.parametrize("x0", [0.0, 5.0])
+def test_roads_have_few_candidates_wherever_the_data_lies(spark, monkeypatch, x0):
+    rng = np.random.default_rng(4)
+    points = [(f"m{i}", x0 - 1e-6 - 0.01 * float(a), float(b)) for i, (a, b) in enumerate(rng.random((100, 2)))]
+    starts = [(i, x0 + 0.5 * float(a), float(b)) for i, (a, b) in enumerate(rng.random((500, 2)))]
+    roads = [(i, a, b, a + 0.001, b + 0.001, "track") for i, a, b in starts]
+    pairs, near = [], spatial._near
+    monkeypatch.setattr(spatial, "_near", lambda *args: pairs.append(near(*args)) or pairs[-1])
+    spatial.nearest_segment(
+        spark.createDataFrame(points, "monitor string, x double, y double"),
+        spark.createDataFrame(
+            roads, "road_id int, x1 double, y1 double, x2 double, y2 double, highway string"
+        ),
+    )
+    assert pairs[0].count() < 40 * len(points)
+
+
+def test_pair_correlations_survive_large_offsets(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [
+        (m, day, h, 1e9 + s * (h * h % 7) / 1000)
+        for h in range(24)
+        for m, s in (("a", 1.0), ("b", -2.0))
+    ]
+    df = spark.createDataFrame(rows, "monitor string, date date, hour int, v double")
+    found = {(r.monitor_x, r.monitor_y): r for r in trends.monitor_pairs(df, "v").collect()}
+    assert abs(found["a", "b"].correlation + 1) < 1e-6 and abs(found["a", "b"].slope + 2) < 1e-4
