@@ -216,3 +216,11 @@ def test_models_without_rows(docs, nothing, spark):
     found = language.predict_languages(docs, language.fit_filters(docs)).collect()
     assert len(found) == len(TEXTS) and {r.lang_pred for r in found if r.doc_id in (4, 5)} == {"und"}
     assert {r.lang_pred for r in language.predict_languages(docs, language.fit_filters(nothing)).collect()} == {"und"}
+
+
+def test_grams_count_once_per_text():
+    texts = ["banana banana", "", "b a n", "12 34", "banana"]
+    digests, owners = language.grams(texts)
+    once, owner = language._once_per_text(digests, owners)
+    assert sorted(zip(owner.tolist(), once.tolist())) == sorted(set(zip(owners.tolist(), digests.tolist())))
+    assert len(language._once_per_text(*language.grams(["12"]))[0]) == 0
