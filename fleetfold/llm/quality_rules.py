@@ -1,9 +1,10 @@
 """Quality rules with host verdicts.
 
 Each document is measured in one pass. Failures of each rule are counted by host (the ``source``
-column), the rates are shrunk towards the corpus by a beta prior fitted to the hosts, and each host is
-trusted or not, rule by rule. A document is rejected if it fails a base rule, or another rule on a
-host that is not trusted with it: a rare failure on a host that hardly ever fails is let through.
+column), the rates are shrunk towards the corpus by a beta prior fitted to the hosts, and a host is
+barred if its rate is high. A document is rejected if it fails a base rule or any other rule, whatever
+its host, and also if its host is barred: hosts add verdicts, they never excuse a document, so no rows
+added to the table can let a failed document through.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from fleetfold.llm.common import blank_words, stored, whole_text
 
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-# a host is trusted with a rule while its shrunken failure rate is at most this
-TRUSTED_RATE = 0.05
+# a host is barred by a rule if its shrunken failure rate is above this: most of what it holds fails
+BARRED_RATE = 0.5
 
 
 def _windows(words: Column) -> Column:
@@ -81,7 +82,7 @@ def measured(docs: DataFrame, text: str = "text", source: str = "source", keep:
 
 
 def _rules() -> dict[str, Column]:
-    """Rules whose verdict is left to the host; ratios of counts, kept whole so that they are exact."""
+    """Rules that also count against the host; ratios of counts, kept whole so that they are exact."""
     return {
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
         "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
@@ -89,8 +90,8 @@ def _rules() -> dict[str, Column]:
     }
 
 
-def host_verdicts(rows: DataFrame, trusted_rate: float = TRUSTED_RATE) -> DataFrame:
-    """host, documents, and per rule the shrunken failure rate and whether the host is trusted.
+def host_verdicts(rows: DataFrame, barred_rate: float = BARRED_RATE) -> DataFrame:
+    """host, documents, and per rule the shrunken failure rate and whether it bars the host.
 
     The prior is fitted by moments: the spread of the hosts' rates beyond what chance alone gives
     sets its strength; without such a spread every host gets the rate of the corpus.
@@ -112,7 +113,7 @@ def host_verdicts(rows: DataFrame, trusted_rate: float = TRUSTED_RATE) -> DataFr
             rate = (F.col(r) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
         else:
             rate = F.lit(mean)
-        verdicts += [rate.alias(f"rate_{r}"), (rate <= trusted_rate).alias(f"trusted_{r}")]
+        verdicts += [rate.alias(f"rate_{r}"), (rate > barred_rate).alias(f"barred_{r}")]
     return stored(hosts.select(*verdicts))
 
 
@@ -121,18 +122,18 @@ def judged(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     # a sum over both sides of the join: no part of it moves below the join, where it would be computed twice
     failures = F.col("base_failed").cast("int")
     for r in _rules():
-        failures = failures + (F.col(f"fails_{r}") & ~F.col(f"trusted_{r}")).cast("int")
+        failures = failures + (F.col(f"fails_{r}") | F.col(f"barred_{r}")).cast("int")
     return rows.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host"))).withColumn("kept", failures == 0)
 
 
-def quality_by_host(docs: DataFrame, trusted_rate: float = TRUSTED_RATE) -> DataFrame:
+def quality_by_host(docs: DataFrame, barred_rate: float = BARRED_RATE) -> DataFrame:
     """doc_id, counts, base_failed, kept for every document."""
     rows = stored(measured(docs))
-    return judged(rows, host_verdicts(rows, trusted_rate))
+    return judged(rows, host_verdicts(rows, barred_rate))
 
 
-def passing(docs: DataFrame, trusted_rate: float = TRUSTED_RATE) -> DataFrame:
+def passing(docs: DataFrame, barred_rate: float = BARRED_RATE) -> DataFrame:
     """The documents that are kept, with their own columns; texts are measured twice instead of stored."""
     wrapped = docs.select(F.struct(*docs.columns).alias("whole_row"), "text", "source")
-    verdicts = host_verdicts(measured(docs, keep=()), trusted_rate)
+    verdicts = host_verdicts(measured(docs, keep=()), barred_rate)
     return judged(measured(wrapped, keep=("whole_row",)), verdicts).where("kept").select("whole_row.*")

@@ -54,6 +54,21 @@ def test_quality_rules(docs, nothing):
     assert quality_rules.passing(docs).columns == docs.columns
 
 
+def test_quality_rules_hold_whatever_rows_are_added(spark):
+    def clean(i):
+        return " ".join(f"plain{(i * 60 + k) % 9973}" for k in range(60))
+
+    junk = [(i, clean(i) + " # # # # # # # # #", "a") for i in range(3)] + [(i, (clean(i) + "\n") + "same line\n" * 9, "b") for i in range(3, 6)]
+    fine = [(100 + i, clean(i), f"{'abcdefgh'[i % 8]}") for i in range(240)]
+    for rows in (junk, junk + fine, junk + fine + fine, junk + [(i, t, "a") for i, t, _ in fine]):
+        found = quality_rules.quality_by_host(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+        assert not any(r.kept for r in found if r.doc_id < 100) and not any(r.base_failed for r in found)
+        assert all(r.kept for r in found if r.doc_id >= 100)
+    barred = [(i, clean(i) + " #" * 9, "bad") for i in range(8)] + [(50, clean(50), "bad")]
+    found = spark.createDataFrame(barred + fine, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in quality_rules.passing(found).collect()} == {i for i, _, _ in fine}
+
+
 def test_licenses(docs, nothing):
     rows = {(r.doc_id, r.n_words): r for r in licenses.license_report(docs).collect()}
     first = next(r for r in rows.values() if r.doc_id == 1)
