@@ -66,23 +66,24 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of each text; their places are found again where they are needed."""
+    """The distinct anchors of each text and how often each occurs; the places are found again where they are needed."""
     for batch in batches:
         text_ids = batch.column(0).to_numpy(zero_copy_only=False)
-        digests, owners, size = [], [], 0
+        digests, owners, places, size = [], [], [], 0
         for i, text in enumerate(batch.column(1)):
-            digest = np.unique(anchors(text.as_py())[1])
+            digest, times = np.unique(anchors(text.as_py())[1], return_counts=True)
             digests.append(digest)
+            places.append(times.astype(np.int32))
             owners.append(np.full(len(digest), text_ids[i]))
             size += len(digest)
             if size > 200_000 or i == batch.num_rows - 1:
-                columns = np.concatenate(digests).view(np.int64), np.concatenate(owners)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "text_id"])
-                digests, owners, size = [], [], 0
+                columns = np.concatenate(digests).view(np.int64), np.concatenate(owners), np.concatenate(places)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "text_id", "places"])
+                digests, owners, places, size = [], [], [], 0
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by anchor, whose anchor occurs in several texts; ``wide`` marks groups beyond the limit."""
+    """Rows, sorted by anchor, whose anchor occurs in several texts; ``wide`` marks groups with more places than the limit."""
     held: list[np.ndarray] = []
     wide_anchor, wide = 0, False
 
@@ -95,7 +96,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.r_[cuts, len(rows)])
         several = np.minimum.reduceat(rows[:, 1], cuts) != np.maximum.reduceat(rows[:, 1], cuts)
         chosen = np.repeat(several, sizes)
-        yield batch_of(rows[chosen], np.repeat(sizes > GROUP_LIMIT, sizes)[chosen])
+        yield batch_of(rows[chosen], np.repeat(np.add.reduceat(rows[:, 2], cuts) > GROUP_LIMIT, sizes)[chosen])
 
     for batch in batches:
         if not batch.num_rows:
@@ -114,7 +115,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [rows[cut:]]
         if cut:
             yield from closed(rows[:cut])
-        if len(rows) - cut > GROUP_LIMIT and (rows[cut:, 1] != rows[cut, 1]).any():
+        if rows[cut:, 2].sum() > GROUP_LIMIT and (rows[cut:, 1] != rows[cut, 1]).any():
             yield batch_of(rows[cut:], True)
             wide_anchor, wide, held = rows[-1, 0], True, []
     if held:
@@ -238,11 +239,20 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string around an anchor of a wide group, by a 128-bit digest."""
+    """Every string around an anchor of a wide group, by a 128-bit digest.
+
+    Rows come in the order of their places, so a string that several anchors reach is given once.
+    """
+    text_id, done = None, -1
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for row in _rows(batch):
-            for offset in range(max(0, REACH - row["at"]), min(REACH, row["size"] - LENGTH - row["at"] + REACH) + 1):
+            if row["text_id"] != text_id:
+                text_id, done = row["text_id"], -1
+            first = max(0, REACH - row["at"], done + 1 - row["at"] + REACH)
+            last = min(REACH, row["size"] - LENGTH - row["at"] + REACH)
+            done = max(done, row["at"] - REACH + last)
+            for offset in range(first, last + 1):
                 string = row["around"][offset : offset + LENGTH]
                 for column, value in zip(out, (hashlib.md5(string).digest(), row["text_id"], row["rank"], row["at"] - REACH + offset)):
                     column.append(value)
@@ -273,7 +283,7 @@ def repeated_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``suspects`` are the texts with an anchor that another text has; ``spans`` (text_id, start, stop) covers
     exactly the bytes of 50-byte strings that start in a text of smaller rank, in overlapping pieces.
     """
-    places = texts.select("text_id", "text").mapInArrow(_emit_anchors, "anchor bigint, text_id bigint")
+    places = texts.select("text_id", "text").mapInArrow(_emit_anchors, "anchor bigint, text_id bigint, places int")
     together = places.repartition("anchor").sortWithinPartitions("anchor")
     shared = together.mapInArrow(_repeated, "anchor bigint, text_id bigint, wide boolean")
     per_text = shared.groupBy(F.col("text_id").alias("place_id")).agg(F.collect_list(F.struct("anchor", "wide")).alias("places"))

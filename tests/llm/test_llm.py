@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -185,6 +186,31 @@ def test_substrings(docs, nothing, monkeypatch, limit):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_anchors_of_many_places_are_wide(spark):
+    texts = [(1, "first " + "-" * 40_000), (2, "second " + "-" * 40_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([t.encode() for _, t in texts])], ["text_id", "text"])
+    emitted = pa.Table.from_batches(substrings._emit_anchors([batch])).sort_by("anchor")
+    for size in (1, 1000):
+        rows = pa.Table.from_batches(substrings._repeated(emitted.to_batches(max_chunksize=size))).to_pylist()
+        dashes = int(substrings.anchor_digests(b"-" * 20).view(np.int64)[0])
+        assert [(r["text_id"], r["wide"]) for r in rows if r["anchor"] == dashes] == [(1, True), (2, True)]
+        assert not any(r["wide"] for r in rows if r["anchor"] != dashes)
+    found = substrings.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256)) for r in found) == brute_cut(texts)
+
+
+def test_strings_of_wide_groups_are_given_once():
+    text = b"x" + b"-" * 300 + bytes(range(97, 123)) * 2 + b"-" * 200
+    at, digest = substrings.anchors(text)
+    known = [{"anchor": int(d), "wide": True} for d in np.unique(digest.view(np.int64))]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("wide", pa.bool_())]))
+    columns = [pa.array([5, 6]), pa.array([1, 2]), pa.array([text, text]), pa.array([known, known], kind)]
+    contexts = list(substrings._contexts([pa.RecordBatch.from_arrays(columns, ["text_id", "rank", "text", "places"])]))
+    found = [(r["text_id"], r["start"], r["digest"]) for b in substrings._digests(contexts) for r in b.to_pylist()]
+    starts = {a - 30 + k for a in at.tolist() for k in range(31) if 0 <= a - 30 + k <= len(text) - 50}
+    assert sorted(found) == sorted((i, s, hashlib.md5(text[s : s + 50]).digest()) for i in (5, 6) for s in starts)
+
+
 def test_column_wise_order():
     rng = np.random.default_rng(3)
     strings = rng.integers(97, 99, (200, 12)).astype(np.uint8)
