@@ -4,42 +4,54 @@ A seed is a mask over consecutive words that ignores some positions, so a hit su
 words. Digests of all masked windows of the documents are joined with those of the benchmark; each hit
 names an item and a shift between item and document. Around a hit the words are then compared at that
 shift: an overlap counts if some run of ``window`` item words agrees in at least ``similarity`` of them.
+Whichever words are substituted within that tolerance, one masked window of the run is free of them.
+Items of fewer than ``least_words`` words are found where all their words follow each other unchanged.
 """
 
 from __future__ import annotations
 
-
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold.llm.common import alnum_words, stored, text_keys, whole_text
 
-# fixed values: word positions that a seed looks at
-SEEDS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 7))
+# fixed values: word positions that a seed looks at; together complete for runs of 8 to 13 words
+SEEDS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 7), (0, 1, 4, 5, 7))
 WINDOW = 13
 SIMILARITY = 0.8
 LEAST_WORDS = 8
 
 
-def _seeded(words: Column, seeds) -> Column:
+def _codes(words: Column) -> Column:
+    """A digest per word, so that a word is read once and not once per window."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _seeded(codes: Column, seeds) -> Column:
     """(digest, position) of every masked window of every seed."""
 
     def of(number: int, seed) -> Column:
-        last = F.size(words) - 1 - max(seed)
-        digest = lambda i: F.xxhash64(F.lit(number), *(F.get(words, i + s) for s in seed))
+        last = F.size(codes) - 1 - max(seed)
+        digest = lambda i: F.xxhash64(F.lit(number), *(F.get(codes, i + s) for s in seed))
         windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(digest(i).alias("digest"), i.alias("at")))
         return F.when(last >= 0, windows).otherwise(F.array().cast("array<struct<digest:bigint,at:int>>"))
 
     return F.concat(*(of(n, s) for n, s in enumerate(seeds)))
 
 
-def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Distinct items with at least ``least_words`` words; shorter ones cannot be told from chance."""
+def _whole(size: int) -> tuple[int, ...]:
+    """The seed that looks at every one of ``size`` words."""
+    return tuple(range(size))
+
+
+def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """Distinct items with at least one word."""
     words = alnum_words(whole_text(text))
     items = benchmark.select(F.col(item).alias("item_id"), F.xxhash64(F.col(item), F.col(text)).alias("item"), words.alias("item_words"))
-    return items.where(F.size("item_words") >= least_words).dropDuplicates(["item"])
+    return items.where(F.size("item_words") > 0).dropDuplicates(["item"])
 
 
 def _bitmap(known: DataFrame) -> Column:
@@ -84,15 +96,23 @@ def overlaps(
     One scan, no shuffle of texts: windows that cannot be of the benchmark are left out within the
     row, the few others are joined with the digests of the benchmark and verified at once against the
     words that travel with them. Null and empty texts, an empty benchmark and an empty table give no
-    rows; items shorter than ``window`` are compared whole; repeated rows and null keys give rows of
-    their own; other columns are not looked at.
+    rows; items shorter than ``window`` are compared whole, those below ``least_words`` without
+    tolerance; repeated rows and null keys give rows of their own; other columns are not looked at.
     """
-    items = stored(benchmark_items(benchmark, least_words=least_words))
-    known = stored(items.select("item", F.inline(_seeded(F.col("item_words"), seeds))).withColumnRenamed("at", "item_at"))
+    items = stored(benchmark_items(benchmark))
+    size, code = F.size("item_words"), _codes(F.col("item_words"))
+    # lengths of short items that the benchmark has: their windows are looked up only if there are any
+    short = sorted(r.size for r in items.where(size < least_words).select(size.alias("size")).distinct().collect())
+    whole = [_whole(n) for n in short]
+    coded = items.select("item", size.alias("size"), code.alias("codes"))
+    long_known = coded.where(F.col("size") >= least_words).select("item", F.inline(_seeded(F.col("codes"), seeds)))
+    parts = [long_known] + [coded.where(F.col("size") == n).select("item", F.inline(_seeded(F.col("codes"), [w]))) for n, w in zip(short, whole)]
+    known = stored(reduce(DataFrame.union, parts).withColumnRenamed("at", "item_at"))
     bitmap = _bitmap(known)
     split = docs.select(*keep, alnum_words(whole_text(text)).alias("words"))
     names = split.columns[:-1]
-    seen = split.select(*names, "words", F.inline(F.filter(_seeded(F.col("words"), seeds), lambda w: _maybe_known(bitmap, w["digest"]))))
+    windows = F.concat(_seeded(F.col("codes"), seeds), *(_seeded(F.col("codes"), [w]) for w in whole))
+    seen = split.select(*names, "words", _codes(F.col("words")).alias("codes")).select(*names, "words", F.inline(F.filter(windows, lambda w: _maybe_known(bitmap, w["digest"]))))
     shifted = seen.join(known, "digest").withColumn("shift", F.col("at") - F.col("item_at")).join(items, "item")
     agree = shifted.select(*names, "item_id", "shift", _agreeing(F.col("words"), F.col("item_words"), F.col("shift")).alias("agree"))
     n = F.least(F.size("agree"), F.lit(window))
@@ -100,7 +120,8 @@ def overlaps(
         F.sequence(F.lit(0), F.size("agree") - n), lambda s: F.aggregate(F.slice("agree", s + 1, n), F.lit(0), lambda a, x: a + x)
     )
     scored = agree.select(*names, "item_id", "shift", n.alias("words"), F.array_max(runs).alias("agreeing"))
-    return scored.where(F.col("agreeing") >= F.ceil(F.col("words") * F.lit(similarity) - F.lit(1e-9))).distinct()
+    least = F.when(F.col("words") < least_words, F.col("words")).otherwise(F.ceil(F.col("words") * F.lit(similarity) - F.lit(1e-9)))
+    return scored.where(F.col("agreeing") >= least).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Text operators against brute force, on small tables with nulls, ties, copies and long texts."""
 
 import hashlib
+import math
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,25 @@ def test_decontamination(docs, nothing, spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_seeds_survive_every_tolerated_substitution():
+    for n in range(8, 14):
+        for gone in combinations(range(n), n - math.ceil(0.8 * n - 1e-9)):
+            free = [(s, at) for s in decontamination.SEEDS for at in range(n - max(s)) if not {at + k for k in s} & set(gone)]
+            assert free, (n, gone)
+
+
+def test_short_items_and_substitutions_in_items_below_thirteen_words(docs, spark):
+    words = PASSAGE.split()
+    rows = [(1, words[2:3]), (2, words[3:10]), (3, words[3:6] + words[7:10]), (4, ["zzz"]), (5, ["北京欢迎你"])]
+    rows += [(10 + k, [f"other{i}" if i in gone else w for i, w in enumerate(words[:n])]) for k, (n, gone) in enumerate([(10, (2, 3)), (10, (3, 6)), (11, (4, 5)), (12, (4, 5))])]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "item_id bigint, text string")
+    texts = spark.createDataFrame([(1, PASSAGE), (2, "x " + " ".join(words[3:10]) + " y"), (3, "a 北京欢迎你 b"), (4, "nothing here")], "doc_id bigint, text string")
+    found = decontamination.contaminated(texts, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (1, 2), (2, 2), (3, 5), (1, 10), (1, 11), (1, 12), (1, 13)}
+    assert {(r.first_word, r.words, r.agreeing) for r in found if r.item_id == 2} == {(3, 7, 7), (1, 7, 7)}
+    assert {r.doc_id for r in decontamination.without_benchmark(texts, bench).collect()} == {4}
+
+
 def test_simhash_groups(docs, nothing, spark):
     rows = simhash.simhash_components(docs).collect()
     assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
