@@ -130,7 +130,7 @@ def job_reference(spark, sf):
                 for c in ("mod_pm25", "mod_temp", "mod_rh")}
     tables = calibrate_to_reference(
         [devices.where(day <= 18), devices.where(day >= 15)], reference, "ref_pm25", channels,
-        components=2, season=dry(devices), max_iter=10, min_hours=12,
+        season=dry(devices), min_hours=12,
     )
     return tables.daily
 
@@ -147,7 +147,6 @@ def job_imputation(spark, sf):
             "mean_pm25": [hours.where(day <= 20), hours.where(day >= 15)],
             "mean_met_temp": [weather.select("monitor", "date", "hour", "mean_met_temp")],
             "mean_met_rh": [weather.select("monitor", "date", "hour", "mean_met_rh")],
-        },
-        candidates=1, trees=3, folds=2,
+        }
     )
     return tables.daily

@@ -195,9 +195,7 @@ def split_parts(spark, sf):
 @query("m07_elastic_net")
 def m07(spark, sf):
     train, test = split_parts(spark, sf)
-    model = models.fit_elastic_net(
-        train, NUMERIC, ["season"], "ref_pm25", [(0.01, 0.0), (0.01, 1.0), (1.0, 0.5)], folds=3
-    )
+    model = models.fit_elastic_net(train, NUMERIC, ["season"], "ref_pm25")
     scored = model.bestModel.transform(test)
     return stats.error_metrics(scored, "ref_pm25", "prediction")
 
@@ -205,9 +203,7 @@ def m07(spark, sf):
 @query("m08_boosted_trees")
 def m08(spark, sf):
     train, test = split_parts(spark, sf)
-    model = models.fit_boosted_trees(
-        train, NUMERIC, ["season"], "ref_pm25", models.space_filling_grid(2), trees=5, folds=2
-    )
+    model = models.fit_boosted_trees(train, NUMERIC, ["season"], "ref_pm25")
     scored = model.bestModel.transform(models.with_missing_flags(test, NUMERIC))
     return stats.error_metrics(scored, "ref_pm25", "prediction")
 
@@ -215,10 +211,8 @@ def m08(spark, sf):
 @query("m09_predict_side_by_side")
 def m09(spark, sf):
     train, test = split_parts(spark, sf)
-    linear = models.fit_elastic_net(train, NUMERIC, ["season"], "ref_pm25", [(0.01, 0.5)], folds=2)
-    trees = models.fit_boosted_trees(
-        train, NUMERIC, ["season"], "ref_pm25", [{"maxDepth": 3}], trees=3, folds=2
-    )
+    linear = models.fit_elastic_net(train, NUMERIC, ["season"], "ref_pm25")
+    trees = models.fit_boosted_trees(train, NUMERIC, ["season"], "ref_pm25")
     return models.predict_with(
         test,
         {"pm25_fem_enet": linear.bestModel, "pm25_fem_trees": trees.bestModel},
@@ -233,13 +227,13 @@ SEASONAL = ["mod_pm25", "mod_temp", "mod_rh", "sin_hour", "cos_hour", "season_bi
 @query("m10_mixture_size_by_bic")
 def m10(spark, sf):
     train, _ = split_parts(spark, sf)
-    return models.mixture_bic_sweep(train, ["mod_pm25", "mod_rh", "ref_pm25"], [1, 2, 3], max_iter=20)
+    return models.mixture_bic_sweep(train, ["mod_pm25", "mod_rh", "ref_pm25"], range(1, 16))
 
 
 @query("m11_mixture_regression")
 def m11(spark, sf):
     train, test = split_parts(spark, sf)
-    mixture = models.fit_mixture(train, ["mod_pm25", "mod_rh", "ref_pm25"], 3, max_iter=20)
+    mixture = models.fit_mixture(train, ["mod_pm25", "mod_rh", "ref_pm25"], 5)
     scored = test.withColumn(
         "prediction", conditional_mean(mixture, "ref_pm25", ["mod_pm25", "mod_rh"])
     )
@@ -285,7 +279,7 @@ def m11_fixed(spark, sf):
 @query("m12_mixture_with_missing_predictors")
 def m12(spark, sf):
     train, test = split_parts(spark, sf)
-    mixture = models.fit_mixture(train, JOINT, 2, max_iter=20)
+    mixture = models.fit_mixture(train, JOINT, 4)
     gaps = test.withColumns(
         {
             "mod_rh": F.when(F.col("row_id") % 3 != 0, F.col("mod_rh")),
@@ -306,7 +300,7 @@ def m12(spark, sf):
 @query("m13_bias_by_component")
 def m13(spark, sf):
     train, _ = split_parts(spark, sf)
-    mixture = models.fit_mixture(train, JOINT, 3, max_iter=20)
+    mixture = models.fit_mixture(train, JOINT, 4)
     scored = train.withColumn(
         "prediction", conditional_mean(mixture, "ref_pm25", JOINT[:-1])
     )
@@ -338,7 +332,7 @@ def m14(spark, sf):
 def m14_seasonal(spark, sf):
     """The whole path: fit on training days, calibrate every hour, keep incomplete rows null."""
     train, _ = split_parts(spark, sf)
-    mixture = models.fit_mixture(train, SEASONAL, 2, max_iter=10)
+    mixture = models.fit_mixture(train, SEASONAL, 4)
     hours = models.with_time_features(fx.model_hours(spark, sf), dry(None))
     gaps = hours.withColumn("mod_rh", F.when(F.col("hour") % 7 != 0, F.col("mod_rh")))
     return models.apply_mixture(gaps, mixture, "ref_pm25", SEASONAL[:-1])
@@ -379,12 +373,11 @@ def imputation_table(spark, sf):
     )
 
 
-def _fit_imputation(df, numeric, nominal, trees=5):
+def _fit_imputation(df, numeric, nominal):
     known = day_block_split(df.where(F.col("mean_pm25").isNotNull()), "date", seed="222")
     train = known.where(F.col("split_day_block") == "train")
-    grid = [{k: v for k, v in p.items()} for p in models.imputation_grid(1)]
     return models.fit_boosted_trees(
-        train, numeric, nominal, "mean_pm25", grid, trees=trees, folds=2
+        train, numeric, nominal, "mean_pm25", models.imputation_grid(), trees=300, folds=3
     )
 
 
@@ -404,7 +397,7 @@ def m18(spark, sf):
     columns = list(MONITOR_COLUMNS.values())
     df = reshape.others_matrix(imputation_table(spark, sf), MONITOR_COLUMNS, "mean_pm25")
     numeric = [*columns, "hour", "month", "dow", "met_temp", "met_rh"]
-    model = _fit_imputation(df, numeric, [], trees=3)
+    model = _fit_imputation(df, numeric, [])
     scored = models.predict_with(df, {"pred_pm25": model.bestModel}, numeric)
     return impute.fill_gaps(scored, "mean_pm25", "pred_pm25").select(
         "monitor", "timestamp", "mean_pm25", "pred_pm25", "pm25_filled", "pm25_data_source"
@@ -476,9 +469,7 @@ def m20(spark, sf):
 @query("m20_feature_importance")
 def m20_importance(spark, sf):
     train, _ = split_parts(spark, sf)
-    model = models.fit_boosted_trees(
-        train, NUMERIC, ["season"], "ref_pm25", [{"maxDepth": 4}], trees=4, folds=2
-    ).bestModel
+    model = models.fit_boosted_trees(train, NUMERIC, ["season"], "ref_pm25").bestModel
     scored = model.transform(models.with_missing_flags(train, NUMERIC))
     return models.top_importances(model, scored, 20, "season")
 
@@ -678,7 +669,7 @@ def m27(spark, sf):
 @query("s16_model_round_trip")
 def s16(spark, sf):
     train, test = split_parts(spark, sf)
-    fitted = models.fit_elastic_net(train, NUMERIC, ["season"], "ref_pm25", [(0.01, 0.5)], folds=2)
+    fitted = models.fit_elastic_net(train, NUMERIC, ["season"], "ref_pm25")
     path = scratch(spark, "model")
     save_model(fitted.bestModel, path)
     scored = load_model(path).transform(test)
