@@ -204,18 +204,25 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_samp
 
 
 def score_texts(texts: list[str], field: Field) -> tuple[np.ndarray, list[list[dict]]]:
-    """Score and offending spans (offsets of characters) of each text; texts without a listed word need no pass."""
+    """Score and offending spans (offsets of characters) of each text; texts of one length without a listed word share one pass."""
     starts, spans = first_letters(field.evidence), [[] for _ in texts]
     summary = np.tile([1.0, 0.0, 0.0], (len(texts), 1))
-    open_, emissions, found = [], [], []
+    owners, emissions, found, plain = [], [], [], {}
     for i, text in enumerate(texts):
         evidence = _evidence(WORD.findall(text.lower()), field.evidence, starts)
-        if evidence.any():
-            open_.append(i)
-            emissions.append(_features(evidence) @ field.weights)
-            found.append(evidence)
-    for i, evidence, marginal in zip(open_, found, passes(emissions, field.moves)):
-        summary[i] = _summary(evidence, marginal)
+        if not evidence.any():
+            # the same score at every word, so the length decides
+            first = len(evidence) not in plain
+            plain.setdefault(len(evidence), []).append(i)
+            if not first:
+                continue
+        owners.append([i] if evidence.any() else plain[len(evidence)])
+        emissions.append(_features(evidence) @ field.weights)
+        found.append(evidence)
+    marginals = passes(emissions, field.moves)
+    for alike, evidence, marginal in zip(owners, found, marginals):
+        summary[alike] = _summary(evidence, marginal)
+    for i, marginal in ((i, m) for alike, m in zip(owners, marginals) if (m >= 0.5).any() for i in alike):
         at = 0
         for k, m in enumerate(WORD.finditer(texts[i].lower())):
             if marginal[k] >= 0.5:

@@ -255,6 +255,17 @@ def test_passes_match_enumeration():
     assert np.allclose(toxicity.passes([emissions, emissions[:1]], moves)[0], want)
 
 
+def test_texts_without_listed_words_are_scored_as_in_the_fit():
+    field = toxicity.Field({"bad": 3.0}, np.array([-3.0, 1.0, 0.0, 0.0]), np.array([[0.1, -0.2], [0.0, 0.5]]), np.array([-4.0, 1.5, 0.5]))
+    texts = ["fine " * 400, "", "good " * 400, "fine " * 30, "so bad it is"]
+    score, spans = toxicity.score_texts(texts, field)
+    for text, found in zip(texts, score):
+        evidence = np.array([3.0 if w == "bad" else 0.0 for w in text.split()])
+        marginal = toxicity.passes([toxicity._features(evidence) @ field.weights], field.moves)[0]
+        assert np.isclose(found, 1 / (1 + np.exp(-np.dot(toxicity._summary(evidence, marginal), field.curve))))
+    assert score[0] == score[2] > score[3] > score[1] and [len(s) for s in spans[:4]] == [0, 0, 0, 0]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     folder = "/root/testdata/sf0.1"
