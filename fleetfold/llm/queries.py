@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfold.llm import decontamination, language, licenses, mixing, quality_model, quality_rules, sharding, simhash, substrings, toxicity
-from fleetfold.llm.common import table
+from fleetfold.llm import centroids, decontamination, language, licenses, mixing, periodic, pieces, quality_model, quality_rules, sharding, simhash, substrings, toxicity
+from fleetfold.llm.common import blank_words, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,46 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, found = centroids.walsh_clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    inertia = [F.col("inertia").cast("long").alias("cluster_inertia"), F.col("total").cast("long").alias("inertia")]
+    known = found.select("cluster", *inertia, digest.alias("centroid_sha256"))
+    return members.join(known, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def piece_model() -> str:
+    """Path of the vocabulary that op12 encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(piece_model())
+    coded = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids"), model)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = table(spark, sf_dir, "documents").select("doc_id", blank_words(whole_text()).alias("words"))
+    planted = split.select("doc_id", periodic.planted_words(F.col("doc_id"), F.col("words")).alias("words"))
+    found = periodic.periodic_runs(planted, "words")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic.longest_run(F.col("runs")).alias("run"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return best.select(
+        "doc_id",
+        "n_runs",
+        "run.start",
+        "run.length",
+        "run.period",
+        F.expr("(1000 * run.length) div run.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
