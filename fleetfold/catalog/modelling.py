@@ -204,7 +204,7 @@ def m07(spark, sf):
 def m08(spark, sf):
     train, test = split_parts(spark, sf)
     model = models.fit_boosted_trees(train, NUMERIC, ["season"], "ref_pm25")
-    scored = model.bestModel.transform(models.with_missing_flags(test, NUMERIC))
+    scored = model.bestModel.transform(test)
     return stats.error_metrics(scored, "ref_pm25", "prediction")
 
 
@@ -230,6 +230,22 @@ def m10(spark, sf):
     return models.mixture_bic_sweep(train, ["mod_pm25", "mod_rh", "ref_pm25"], range(1, 16))
 
 
+@query(
+    "m10_single_gaussian",
+    f"""SELECT CAST(1 AS INTEGER) AS k, round(l, 3) AS log_likelihood, round(5 * ln(n) - 2 * l, 3) AS bic
+        FROM (SELECT n, -0.5 * n * (2 + 2 * ln(2 * pi()) + ln(a * b - c * c)) AS l
+              FROM (SELECT count(*) AS n, var_pop(mod_pm25) AS a, var_pop(ref_pm25) AS b,
+                           covar_pop(mod_pm25, ref_pm25) AS c
+                    FROM ({MODEL_SQL}) WHERE split_day_block = 'train'
+                      AND mod_pm25 IS NOT NULL AND ref_pm25 IS NOT NULL))""",
+)
+def m10_single(spark, sf):
+    """The sweep at one component, where the likelihood has a closed form."""
+    train, _ = split_parts(spark, sf)
+    table = models.mixture_bic_sweep(train, ["mod_pm25", "ref_pm25"], [1])
+    return rounded(table, "log_likelihood", "bic", digits=3)
+
+
 @query("m11_mixture_regression")
 def m11(spark, sf):
     train, test = split_parts(spark, sf)
@@ -470,8 +486,7 @@ def m20(spark, sf):
 def m20_importance(spark, sf):
     train, _ = split_parts(spark, sf)
     model = models.fit_boosted_trees(train, NUMERIC, ["season"], "ref_pm25").bestModel
-    scored = model.transform(models.with_missing_flags(train, NUMERIC))
-    return models.top_importances(model, scored, 20, "season")
+    return models.top_importances(spark, model, 20, "season")
 
 
 ANOVA_SQL = """

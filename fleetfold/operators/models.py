@@ -1,4 +1,4 @@
-"""Models against a reference instrument and for gap filling, fitted by MLlib."""
+"""Models against a reference instrument and for gap filling."""
 
 from __future__ import annotations
 
@@ -16,8 +16,7 @@ from pyspark.ml.feature import (
     VarianceThresholdSelector,
     VectorAssembler,
 )
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +30,9 @@ from fleetfold.functions.mixture import (
     hard_label,
     responsibilities,
 )
+from fleetfold.operators.boosted import BoostedModel, TunedTrees, tune_boosted_trees
 from fleetfold.operators.merge import combine_channels, stack_batches, valid_since
+from fleetfold.operators.mixtures import ROUNDS, fit_mixtures
 from fleetfold.operators.ordering import day_block_split, day_fold, row_ids
 from fleetfold.operators.stats import error_metrics
 from fleetfold.session import cut_lineage
@@ -186,41 +187,12 @@ def space_filling_grid(n: int, seed: int = 123) -> list[dict[str, float]]:
             "stepSize": float(10 ** (-2.5 + 2.0 * u[1])),
             "minInfoGain": float(10 ** (-8 + 7 * u[2])),
             "subsamplingRate": float(0.5 + 0.5 * u[3]),
-            "featureSubsetStrategy": f"{0.4 + 0.6 * u[4]:.3f}",
+            "featureSubsetStrategy": float(0.4 + 0.6 * u[4]),
         }
         for u in unit
     ]
 
 
-def boosted_pipeline(
-    numeric: Sequence[str], nominal: Sequence[str], target: str, trees: int, seed: int = 123
-) -> tuple[Pipeline, GBTRegressor]:
-    """Boosted trees; null predictors become medians plus an indicator column."""
-    filled = [f"{c}_filled" for c in numeric]
-    encode, vectors = encoded(nominal)
-    regression = GBTRegressor(
-        featuresCol="features", labelCol=target, predictionCol="prediction", maxIter=trees,
-        seed=seed,
-    )
-    stages = [
-        *encode,
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
-        VectorAssembler(
-            inputCols=[*filled, *[f"{c}_missing" for c in numeric], *vectors],
-            outputCol="features",
-        ),
-        regression,
-    ]
-    return Pipeline(stages=stages), regression
-
-
-def with_missing_flags(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    return df.withColumns(
-        {f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric}
-        | {c: F.col(c).cast("double") for c in numeric}
-    )
-
-
 def fit_boosted_trees(
     train: DataFrame,
     numeric: Sequence[str],
@@ -230,15 +202,11 @@ def fit_boosted_trees(
     trees: int = 1000,
     folds: int = 5,
     day: str = "date",
-    parallelism: int = 4,
-) -> CrossValidatorModel:
-    pipeline, regression = boosted_pipeline(numeric, nominal, target, trees)
-    maps = [
-        {regression.getParam(name): value for name, value in point.items()}
-        for point in (grid or space_filling_grid(25))
-    ]
-    ready = with_missing_flags(train.where(F.col(target).isNotNull()), numeric)
-    return _cross_validate(ready, pipeline, maps, target, day, folds, parallelism)
+) -> TunedTrees:
+    """Boosted trees tuned with folds of whole days; missing predictors go to the better side of a split."""
+    return tune_boosted_trees(
+        train, numeric, nominal, target, grid or space_filling_grid(25), trees, folds, day
+    )
 
 
 def imputation_grid(n: int = 8, seed: int = 123) -> list[dict[str, object]]:
@@ -254,7 +222,7 @@ def imputation_grid(n: int = 8, seed: int = 123) -> list[dict[str, object]]:
         for depth in (3, 5, 7)
         for step in (0.03, 0.1)
         for rows in (0.8, 1.0)
-        for columns in ("0.8", "1.0")
+        for columns in (0.8, 1.0)
         for leaf in (1, 5)
     ]
     picks = np.random.default_rng(seed).choice(len(space), size=min(n, len(space)), replace=False)
@@ -262,26 +230,22 @@ def imputation_grid(n: int = 8, seed: int = 123) -> list[dict[str, object]]:
 
 
 def predict_with(
-    df: DataFrame, models: Mapping[str, PipelineModel], numeric: Sequence[str]
+    df: DataFrame, models: Mapping[str, PipelineModel | BoostedModel], numeric: Sequence[str]
 ) -> DataFrame:
     """Predictions of several models side by side, clamped at zero."""
-    out = with_missing_flags(df, numeric)
+    out = df.withColumns({c: F.col(c).cast("double") for c in numeric})
     for name, model in models.items():
         scored = model.transform(out)
         out = scored.select(*out.columns, clamp_at_zero("prediction").alias(name))
-    return out.drop(*[f"{c}_missing" for c in numeric])
+    return out
 
 
 def top_importances(
-    model: PipelineModel, scored: DataFrame, n: int = 20, without: str | None = None
+    spark: SparkSession, model: BoostedModel, n: int = 20, without: str | None = None
 ) -> DataFrame:
-    """Largest feature importances with their names, read from the attributes of the vector."""
-    fitted = model.stages[-1]
-    attributes = scored.schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for group in attributes.values() for a in group}
-    weights = fitted.featureImportances
-    rows = [(names[int(i)], float(w)) for i, w in zip(weights.indices, weights.values)]
-    table = scored.sparkSession.createDataFrame(rows, "feature string, importance double")
+    """Largest feature importances with their names; unused features are left out."""
+    rows = [(name, share) for name, share in model.importances().items() if share > 0]
+    table = spark.createDataFrame(rows, "feature string, importance double")
     kept = table if without is None else table.where(~F.col("feature").startswith(without))
     return kept.orderBy(F.desc("importance"), "feature").limit(n)
 
@@ -336,66 +300,19 @@ def log_linear_fit(df: DataFrame, target: str, predictors: Mapping[str, Column])
 # --- Gaussian mixture regression ----------------------------------------------------------------
 
 
-def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(doubles)
-
-
-def _as_mixture(model, columns: Sequence[str]) -> Mixture:
-    parameters = model.gaussiansDF.collect()
-    return Mixture(
-        tuple(columns),
-        np.array(model.weights),
-        np.array([row["mean"].toArray() for row in parameters]),
-        np.array([row["cov"].toArray() for row in parameters]),
-    )
-
-
-def _single_gaussian(vectors: DataFrame, columns: Sequence[str]) -> tuple[Mixture, int]:
-    """Mean and covariance of all rows: the mixture of one component, in one aggregation."""
-    d = len(columns)
-    row = vectors.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[
-            F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}")
-            for i in range(d)
-            for j in range(i, d)
-        ],
-    ).first()
-    covariance = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-    mean = np.array([[row[f"m{i}"] for i in range(d)]])
-    return Mixture(tuple(columns), np.array([1.0]), mean, covariance[None, :, :]), row["n"]
-
-
 def fit_mixture(
-    df: DataFrame, columns: Sequence[str], k: int, seed: int = 11, max_iter: int = 100
+    df: DataFrame, columns: Sequence[str], k: int, seed: int = 11, max_iter: int = ROUNDS
 ) -> Mixture:
-    """Mixture over the joint vector of predictors and target, by distributed EM."""
-    vectors = cut_lineage(_vectors(df, columns))
-    if k == 1:
-        return _single_gaussian(vectors, columns)[0]
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
-    return _as_mixture(model, columns)
+    """Mixture over the joint vector of predictors and target."""
+    return fit_mixtures(df, columns, [k], seed=seed, max_rounds=max_iter)[k].mixture
 
 
 def mixture_bic_sweep(
-    df: DataFrame, columns: Sequence[str], sizes: Sequence[int], seed: int = 2, max_iter: int = 100
+    df: DataFrame, columns: Sequence[str], sizes: Sequence[int], seed: int = 2, max_iter: int = ROUNDS
 ) -> DataFrame:
-    """Bayesian information criterion of mixtures of several sizes."""
-    vectors = cut_lineage(_vectors(df, columns))
-    single, n = _single_gaussian(vectors, columns)
-    d = len(columns)
-    rows = []
-    for k in sizes:
-        free = k * (1 + d + d * (d + 1) / 2) - 1
-        if k == 1:
-            _, log_det = np.linalg.slogdet(single.covariances[0])
-            log_likelihood = -0.5 * n * (d * math.log(2 * math.pi) + log_det + d)
-        else:
-            model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
-            log_likelihood = model.summary.logLikelihood
-        rows.append((k, float(log_likelihood), float(-2 * log_likelihood + free * math.log(n))))
+    """Bayesian information criterion of mixtures of several sizes, all fitted in the same rounds."""
+    fits = fit_mixtures(df, columns, sizes, seed=seed, max_rounds=max_iter)
+    rows = [(k, fits[k].log_likelihood, fits[k].bic) for k in sizes]
     return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double")
 
 

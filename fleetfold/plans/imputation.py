@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetfold.functions.calendar import date_hour
 from fleetfold.functions.columns import canonical_monitor
+from fleetfold.operators.boosted import TunedTrees
 from fleetfold.operators.completeness import daily_hour_share
 from fleetfold.operators.impute import fill_gaps, leave_one_out
 from fleetfold.operators.merge import combine_channels, stack_batches
@@ -26,7 +26,7 @@ FEATURES = ("fleet_avg", "hour", "month", "dow", "mean_met_temp", "mean_met_rh")
 
 @dataclass(frozen=True)
 class ImputationTables:
-    model: CrossValidatorModel
+    model: TunedTrees
     test_metrics: DataFrame
     hourly: DataFrame
     daily: DataFrame

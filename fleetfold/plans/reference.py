@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.columns import clamp_at_zero
 from fleetfold.functions.mixture import Mixture, conditional_mean
+from fleetfold.operators.mixtures import ROUNDS
 from fleetfold.operators.models import (
     SEASONAL_PREDICTORS,
     apply_mixture,
@@ -43,7 +44,7 @@ def calibrate_to_reference(
     season: Column | None = None,
     starts: DataFrame | None = None,
     min_hours: int = 18,
-    max_iter: int = 100,
+    max_iter: int = ROUNDS,
 ) -> ReferenceTables:
     """Fit on the training days, report the held-out error, calibrate every hour, summarise days.
 
