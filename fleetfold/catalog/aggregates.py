@@ -912,17 +912,13 @@ def a38(spark, sf):
               round(corr(a.{c}, b.{c}), 7) AS correlation,
               round(regr_slope(b.{c}, a.{c}), 7) AS slope
             FROM gas_hours a JOIN gas_hours b ON a.timestamp = b.timestamp
-            WHERE a.{c} IS NOT NULL AND b.{c} IS NOT NULL GROUP BY 2, 3 HAVING count(*) > 2"""
+            WHERE a.{c} IS NOT NULL AND b.{c} IS NOT NULL GROUP BY 2, 3"""
         for c in fx.GASES
     ),
 )
 def a39(spark, sf):
-    tables = [
-        trends.monitor_pairs(fx.gas_hours(spark, sf), g).select(F.lit(g).alias("gas"), "*")
-        for g in fx.GASES
-    ]
-    pairs = reduce(DataFrame.unionByName, tables)
-    return rounded(pairs.where("n > 2"), "correlation", "slope", digits=7)
+    pairs = trends.monitor_pairs(fx.gas_hours(spark, sf), fx.GASES).withColumnRenamed("measure", "gas")
+    return rounded(pairs, "correlation", "slope", digits=7)
 
 
 @query(

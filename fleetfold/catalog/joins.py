@@ -838,8 +838,8 @@ def w10(spark, sf):
         .where("d <> 0")
         .withColumn("size", F.abs("d"))
     )
-    positive = sized.groupBy("size").agg(F.count_if(F.col("d") > 0).alias("positive"))
-    return ordering.value_ranks(sized, "size").join(positive, "size").select(
+    positive = F.count_if(F.col("d") > 0).alias("positive")
+    return ordering.value_ranks(sized, "size", extra=[positive]).select(
         "size", "n", "positive", "n_below",
         (F.col("n_below") + (F.col("n") + 1) / 2).alias("mean_rank"),
     )

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from fleetfold.functions.columns import as_column
 from fleetfold.session import settle
 
-HALVINGS = 10
-SPLITS = 2**HALVINGS - 1
-SKETCH_ACCURACY = 10_000
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key under an explicit order.
@@ -53,130 +49,128 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
     return df.withColumn("_s", packed).select(*df.columns, *[F.col(f"_s.{n}") for n in names])
 
 
-def _bucket(value: Column, splits: Column) -> Column:
-    """Number of split points not above ``value``, by repeated halving of the sorted splits."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(HALVINGS))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(
-            F.coalesce(F.try_element_at(splits, at + step) <= value, F.lit(False)), at + step
-        ).otherwise(at),
-    )
-
-
-def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+def value_ranks(
+    df: DataFrame, value: str, keys: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
     """For each distinct (keys, value): how many rows hold it (``n``) and how many are smaller.
 
-    Equal values are collapsed first. The distinct values of a key are cut into 1024 buckets at
-    sketched split points, so the running count is a window over one bucket plus the offset of
-    the bucket, and even a single key is spread over many tasks.
+    ``extra`` are further aggregates over the rows of a value, each with a name. Equal values are
+    collapsed first; the distinct ones are dealt into ranges of their order, so that even a single
+    key spreads over many tasks, and each range starts at the sum of the ranges before it.
     """
     keys = list(keys)
-    distinct = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    )
-    probs = [i / (SPLITS + 1) for i in range(1, SPLITS + 1)]
-    splits = distinct.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, SKETCH_ACCURACY).alias("_splits")
-    )
-    bucketed = attach(distinct, splits, keys, "inner").select(
-        *keys, value, "n", _bucket(F.col(value), F.col("_splits")).alias("_bucket")
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*keys, "_bucket")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+    distinct = counts.agg(F.count(F.lit(1)).alias("n"), *extra)
+    order = [F.col(k) for k in [*keys, value]]
+    placed = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the range above bit 33 and the place within the range below
+    ranged = settle(placed.withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy(*keys, "_range")
         .agg(F.sum("n").alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .drop("_size")
     )
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        join_on(
-            bucketed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))),
-            offsets,
-            [*keys, "_bucket"],
-        )
-        .select(*keys, value, "n", (F.col("_offset") + F.col("_inside")).alias("n_below"))
+    within = Window.partitionBy("_range", *keys).orderBy("_at")
+    inside = F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    summed = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    return join_on(summed, settle(starts), [*keys, "_range"]).select(
+        *distinct.columns, (F.col("_start") + F.col("_inside")).alias("n_below")
     )
 
 
-def exact_quantiles(
+# cells of the first count, per doubling of a value and from the smallest double on; then per cell
+CELLS_PER_DOUBLING, CELLS_BEFORE_ONE, CELLS_WITHIN = 16, 20_000, 4096
+
+
+def _first_cell(value: Column) -> Column:
+    """Number of the cell of a value: a sixteenth of a doubling, in the order of the values."""
+    size = F.floor(F.log2(F.abs(value)) * CELLS_PER_DOUBLING) + CELLS_BEFORE_ONE
+    endless = F.lit(2 * CELLS_BEFORE_ONE).cast("bigint")
+    cell = F.when(F.abs(value) == float("inf"), endless).otherwise(size)
+    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, cell).otherwise(-cell)
+
+
+def _ranked_cells(cells: DataFrame, wanted: DataFrame, groups: list[str], keys: list[str]) -> DataFrame:
+    """The wanted ranks with the cell each falls into; ``groups`` name what ``cells`` divides."""
+    upto = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)) + F.col("_below"))
+    joined = join_on(wanted, placed, groups) if groups else wanted.join(placed, F.col("_rank") < F.col("_before") + F.col("_n"))
+    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+    return joined.where(inside).select(*keys, "_rank", "_lo", "_hi", F.col("_before").alias("_below"))
+
+
+def quantile_table(
     df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one named column per probability.
+    """``n``, ``mean``, ``sd``, ``min``, ``max`` and exact interpolated quantiles, one row per key.
 
-    A sketch brackets each wanted rank; only the rows inside the bracket (a fraction of about
-    4 / ``SKETCH_ACCURACY`` on each side) are ordered, everything below it is merely counted.
-    Groups so small that this margin is less than a few ranks are ordered as a whole.
+    One scan counts the values of each key by cells in their order and gives the moments with it.
+    Cells that hold a wanted rank are divided further, each in one more scan, until all values of a
+    cell are equal; every division separates the least and the greatest of a cell, and two or three
+    are usual. A task sees the cells of a key, never its rows. Null and NaN are left out; a key
+    without values has ``n`` 0 and nulls.
     """
     keys = list(keys)
-    names = list(probs)
-    margin = 4.0 / SKETCH_ACCURACY
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    lows = [max(probs[n] - margin, 0.0) for n in names]
-    highs = [min(probs[n] + margin, 1.0) for n in names]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lows + highs, SKETCH_ACCURACY).alias("_cuts"),
-    )
-    small = F.col("_n") <= 2 * SKETCH_ACCURACY
-    brackets = []
-    for i, name in enumerate(names):
-        cut_low, cut_high = F.col("_cuts")[i], F.col("_cuts")[len(names) + i]
-        low = F.when(small | F.lit(lows[i] == 0.0), F.col("_min")).otherwise(cut_low)
-        high = F.when(small | F.lit(highs[i] == 1.0), F.col("_max")).otherwise(cut_high)
-        at = (F.col("_n") - 1) * F.lit(float(probs[name]))
-        brackets.append(
-            F.struct(
-                F.lit(name).alias("name"), low.alias("low"), high.alias("high"), at.alias("at")
-            )
-        )
-    sketch = sketch.select(*keys, "_n", F.array(*brackets).alias("_brackets"))
-    counted = (
-        attach(rows, sketch, keys, "inner")
-        .select(*keys, "_v", "_n", F.explode("_brackets").alias("_b"))
-        .where(F.col("_v") <= F.col("_b.high"))
-        .select(
-            *keys,
-            F.col("_b.name").alias("_name"),
-            F.col("_b.at").alias("_at"),
-            "_n",
-            F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"),
-        )
-        .groupBy(*keys, "_name", "_at", "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    running = (
-        Window.partitionBy(*keys, "_name")
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counted.withColumn("_upto", F.sum("_rows").over(running)).where("_v IS NOT NULL")
-    lower, upper = F.floor("_at"), F.ceil("_at")
+    x = F.col(value).cast("double")
+    rows = df.select(*keys, F.when(~F.isnan(x), x).alias("_v"))
+    counts = [F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    moments = [F.avg("_v").alias("_mean"), F.var_pop("_v").alias("_var")]
+    first = settle(rows.groupBy(*keys, _first_cell(F.col("_v")).alias("_cell")).agg(*counts, *moments))
+    whole = first.groupBy(*keys).agg(
+        F.sum("_n").alias("n"),
+        (F.sum(F.col("_n") * F.col("_mean")) / F.sum(F.when(F.col("_n") > 0, F.col("_n")))).alias("mean"),
+        F.min("_lo").alias("min"),
+        F.max("_hi").alias("max"),
+    )
+    whole = settle(whole)
+    at = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    ranks = F.explode(F.array_distinct(F.array(*(f(a).cast("bigint") for a in at.values() for f in (F.floor, F.ceil)))))
+    wanted = whole.where("n > 0").select(*keys, ranks.alias("_rank"))
+    counted = first.where("_n > 0").withColumn("_below", F.lit(0).cast("bigint"))
+    found = settle(_ranked_cells(counted, wanted, keys, keys))
+    done, live = [], rows.where(F.col("_v").isNotNull())
+    while True:
+        done.append(found.where("_lo = _hi"))
+        open_cells = settle(found.where("_lo < _hi"))
+        ranges = open_cells.select(*keys, "_lo", "_hi", "_below").distinct()
+        if open_cells.isEmpty():
+            break
+        where = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+        if keys:
+            hit = join_on(live, settle(ranges), keys).where(where)
+        else:
+            # without keys there are at most two open cells per quantile
+            known = [F.struct(F.lit(r["_lo"]).alias("_lo"), F.lit(r["_hi"]).alias("_hi"), F.lit(r["_below"]).alias("_below")) for r in ranges.collect()]
+            hit = live.select("_v", F.inline(F.array(*known))).where(where)
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        cell = F.floor(share * CELLS_WITHIN).alias("_cell")
+        groups = [*keys, "_lo", "_hi", "_below"]
+        inner = hit.groupBy(*groups, cell).agg(F.count("_v").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        renamed = {"_lo": "_from", "_hi": "_to", "_below": "_start"}
+        cells = inner.withColumnsRenamed(renamed).withColumnsRenamed({"_least": "_lo", "_most": "_hi"}).withColumn("_below", F.col("_start"))
+        found = settle(_ranked_cells(cells, open_cells.withColumnsRenamed(renamed), [*keys, "_from", "_to", "_start"], keys))
+    values = reduce(DataFrame.union, done).select(*keys, "_rank", F.col("_lo").alias("_value"))
+    by_rank = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_values"))
+    of = lambda rank: F.element_at("_values", rank.cast("bigint"))
+    quantiles = [(of(F.floor(a)) + (a - F.floor(a)) * (of(F.ceil(a)) - of(F.floor(a)))).alias(n) for n, a in at.items()]
+    apart = F.pow(F.col("_mean") - F.col("mean"), 2)
+    spread = attach(first.where("_n > 0"), whole.select(*keys, "mean"), keys, "inner").groupBy(*keys).agg(
+        F.sum(F.col("_n") * (F.col("_var") + apart)).alias("_squares")
+    )
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))).alias("sd")
+    joined = join_on(join_on(whole, spread, keys, "left"), by_rank, keys, "left") if keys else whole.join(spread).join(by_rank, how="left")
+    return joined.select(*keys, "n", "mean", sd, "min", "max", *quantiles)
 
-    def at_rank(rank: Column) -> Column:
-        held = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_rows"))
-        return F.max(F.when(held, F.col("_v")))
 
-    found = ranked.groupBy(*keys, "_name").agg(
-        at_rank(lower).alias("_lo"), at_rank(upper).alias("_hi"), F.max("_at").alias("_at")
-    )
-    fraction = F.col("_at") - F.floor("_at")
-    quantile = F.when(
-        F.col("_lo").isNull() | F.col("_hi").isNull(),
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-    ).otherwise(F.col("_lo") + fraction * (F.col("_hi") - F.col("_lo")))
-    found = found.withColumn("_q", quantile)
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names]
-    )
+def exact_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one named column per probability; see ``quantile_table``."""
+    table = quantile_table(df, value, probs, keys)
+    return table.where("n > 0").select(*keys, *probs)
 
 
 def key_digest(*parts: Column | str) -> Column:

@@ -191,8 +191,7 @@ def wilcoxon_signed_rank(df: DataFrame, first: str, second: str) -> DataFrame:
         F.col("_d").isNotNull() & (F.col("_d") != 0)
     )
     sized = differences.withColumn("_size", F.abs("_d"))
-    positive = sized.groupBy("_size").agg(F.count_if(F.col("_d") > 0).alias("_plus"))
-    ranks = value_ranks(sized, "_size").join(positive, "_size")
+    ranks = value_ranks(sized, "_size", extra=[F.count_if(F.col("_d") > 0).alias("_plus")])
     n = F.col("n").cast("double")
     mean_rank = F.col("n_below") + (n + 1) / 2
     sums = ranks.agg(

@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfold.functions.calendar import in_cook_time, moment
 from fleetfold.functions.columns import device_class, outside_range, significant, within
-from fleetfold.functions.pairs import PAIR_SCHEMA, pair_sums
-from fleetfold.operators.ordering import attach, exact_quantiles, join_on
+from fleetfold.functions.pairs import PAIR_SCHEMA, SUMS, TILE, pair_sums
+from fleetfold.operators.ordering import attach, exact_quantiles, join_on, quantile_table
 from fleetfold.operators.reshape import to_long
+from fleetfold.session import settle
 
 
 def monitor_statistics(df: DataFrame, value: str, keys: Sequence[str] = ("monitor",)) -> DataFrame:
     """Mean, exact median and sample deviation per monitor; all null where nothing is known."""
-    moments = df.groupBy(*keys).agg(
-        F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("sd_value")
-    )
-    medians = exact_quantiles(df, value, {"median_value": 0.5}, keys)
-    return join_on(moments, medians, keys, "left")
+    table = quantile_table(df, value, {"median_value": 0.5}, keys)
+    return table.select(*keys, F.col("mean").alias("mean_value"), F.col("sd").alias("sd_value"), "median_value")
 
 
 def grand_daily_means(daily: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -36,14 +34,8 @@ def grand_daily_means(daily: DataFrame, columns: Mapping[str, str]) -> DataFrame
 
 def quartile_table(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean and maximum per group, rounded to two digits."""
-    plain = df.groupBy(*keys).agg(
-        F.bround(F.min(value), 2).alias("min"),
-        F.bround(F.avg(value), 2).alias("mean"),
-        F.bround(F.max(value), 2).alias("max"),
-    )
-    quartiles = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
-    rounded = quartiles.select(*keys, *[F.bround(c, 2).alias(c) for c in ("q1", "median", "q3")])
-    return join_on(plain, rounded, keys, "left")
+    table = quantile_table(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
+    return table.select(*keys, *[F.bround(c, 2).alias(c) for c in ("min", "mean", "max", "q1", "median", "q3")])
 
 
 def mean_and_spread(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -186,35 +178,61 @@ def calibration_change(df: DataFrame, raw: str, adjusted: str, delta: str, ratio
     )
 
 
-def monitor_pairs(df: DataFrame, value: str, time: Sequence[str] = ("date", "hour")) -> DataFrame:
-    """Pearson correlation and slope (y on x) of every ordered pair of monitors.
+def monitor_pairs(
+    df: DataFrame, values: str | Sequence[str], time: Sequence[str] = ("date", "hour"), tile: int = TILE
+) -> DataFrame:
+    """Pearson correlation and slope (y on x) of every ordered pair of monitors, per measure.
 
-    A time step is one row holding the vector of the fleet; tasks reduce thousands of steps to
-    one matrix of sums per batch, so pairs are never listed per time step. Readings are counted
-    from the monitor's smallest, so that sums of squares of large values do not cancel.
+    All measures go in one pass. Monitors are numbered and cut into tiles; a reading is sent once per
+    tile to the task that holds its time step, which adds up matrix products for blocks of tiles, the upper
+    half only, and gives each block once. Pairs are never listed per time step, a step is never
+    gathered as one row. Readings are counted from the monitor's smallest, so that sums of squares of
+    large values do not cancel. Readings of no monitor and pairs without a common step are left out.
     """
-    one_each = df.where(F.col(value).isNotNull()).groupBy(*time, "monitor").agg(
-        F.avg(value).alias("_v")
-    )
-    least = one_each.groupBy("monitor").agg(F.min("_v").alias("_least"))
-    above = (F.col("_v") - F.col("_least")).alias("v")
-    vectors = attach(one_each, least, ["monitor"]).groupBy(*time).agg(
-        F.collect_list(F.struct("monitor", above)).alias("_pairs")
-    )
-    sums = (
-        vectors.select(
-            F.col("_pairs.monitor").alias("names"), F.col("_pairs.v").alias("readings")
-        )
-        .mapInPandas(pair_sums, PAIR_SCHEMA)
-        .groupBy("monitor_x", "monitor_y")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    )
+    values = [values] if isinstance(values, str) else list(values)
+    known = df.where(F.col("monitor").isNotNull())
+    least = [F.min(c).cast("double").alias(f"_least_{i}") for i, c in enumerate(values)]
+    numbered = known.groupBy("monitor").agg(*least).withColumn(
+        "_number", F.row_number().over(Window.orderBy("monitor")) - 1
+    )
+    fleet = settle(numbered)
+    size = max(1, min(tile, fleet.count()))
+    tiles = -(-fleet.count() // size)
+    means = known.groupBy(*time, "monitor").agg(*[F.avg(c).alias(f"_v{i}") for i, c in enumerate(values)])
+    measures = F.array(
+        *[
+            F.struct(F.lit(i).alias("measure"), (F.col(f"_v{i}") - F.col(f"_least_{i}")).alias("v"))
+            for i in range(len(values))
+        ]
+    )
+    mine = (F.col("_number") / size).cast("int")
+    others = F.sequence(F.lit(0), F.lit(tiles - 1))
+    blocks = F.transform(others, lambda t: F.struct(F.least(mine, t).alias("tile_x"), F.greatest(mine, t).alias("tile_y")))
+    step = F.xxhash64(*time).alias("step")
+    dealt = means.join(fleet, "monitor").select(step, F.col("_number").alias("monitor"), measures.alias("m"), F.inline(blocks))
+    rows = dealt.select("tile_x", "tile_y", "step", "monitor", F.inline("m")).where("v IS NOT NULL").select(
+        "tile_x", "tile_y", "measure", "step", "monitor", "v"
+    )
+    keys = ["tile_x", "tile_y", "measure", "step"]
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys)
+    sums = placed.mapInArrow(pair_sums(size), PAIR_SCHEMA).groupBy("measure", "x", "y").agg(
+        *[F.sum(c).alias(c) for c in SUMS]
+    )
+    turned = F.struct("x", "y", "sx", "sy", "sxx", "syy"), F.struct(
+        F.col("y").alias("x"), F.col("x").alias("y"), F.col("sy").alias("sx"), F.col("sx").alias("sy"),
+        F.col("syy").alias("sxx"), F.col("sxx").alias("syy"),
+    )
+    both = F.when(F.col("x") == F.col("y"), F.array(turned[0])).otherwise(F.array(*turned))
+    ordered = sums.select("measure", "n", "sxy", F.inline(both))
     n = F.col("n")
     sxx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     syy = F.col("syy") - F.col("sy") * F.col("sy") / n
     sxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
     usable = (n > 1) & (sxx > 0) & (syy > 0)
-    return sums.select(
+    names = {s: fleet.select(F.col("_number").alias(s), F.col("monitor").alias(f"monitor_{s}")) for s in "xy"}
+    labels = F.array(*[F.lit(v) for v in values])
+    return ordered.join(names["x"], "x").join(names["y"], "y").select(
+        F.get(labels, F.col("measure")).alias("measure"),
         "monitor_x",
         "monitor_y",
         n.cast("bigint").alias("n"),
