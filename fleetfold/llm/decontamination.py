@@ -30,35 +30,60 @@ def _codes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _digest(number: int, codes: Column, at: Column, seed) -> Column:
+    return F.xxhash64(F.lit(number), *(F.get(codes, at + s) for s in seed))
+
+
 def _seeded(codes: Column, seeds) -> Column:
     """(digest, position) of every masked window of every seed."""
 
     def of(number: int, seed) -> Column:
         last = F.size(codes) - 1 - max(seed)
-        digest = lambda i: F.xxhash64(F.lit(number), *(F.get(codes, i + s) for s in seed))
-        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(digest(i).alias("digest"), i.alias("at")))
+        window = lambda i: F.struct(_digest(number, codes, i, seed).alias("digest"), i.alias("at"))
+        windows = F.transform(F.sequence(F.lit(0), last), window)
         return F.when(last >= 0, windows).otherwise(F.array().cast("array<struct<digest:bigint,at:int>>"))
 
     return F.concat(*(of(n, s) for n, s in enumerate(seeds)))
 
 
+def _possible(codes: Column, seeds, bitmap: Column) -> Column:
+    """(digest, position) of the masked windows that may be of the benchmark.
+
+    ``codes`` holds null for words that the benchmark has not; a window stops at the first of them and
+    gets no digest, which is the case for nearly all.
+    """
+
+    def of(number: int, seed) -> Column:
+        last = F.size(codes) - 1 - max(seed)
+
+        def window(i: Column) -> Column:
+            known = reduce(lambda a, b: a & b, (F.get(codes, i + s).isNotNull() for s in seed))
+            return F.when(known, _digest(number, codes, i, seed))
+
+        digests = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(F.array().cast("array<bigint>"))
+        hit = lambda d, i: F.when(d.isNotNull() & _maybe_known(bitmap, d), F.struct(d.alias("digest"), i.alias("at")))
+        return F.array_compact(F.transform(digests, hit))
+
+    return F.concat(*(of(n, s) for n, s in enumerate(seeds)))
+
+
 def _whole(size: int) -> tuple[int, ...]:
     """The seed that looks at every one of ``size`` words."""
     return tuple(range(size))
 
 
-def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct items with at least one word."""
+def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", least_item_words: int = 1) -> DataFrame:
+    """Distinct items with at least ``least_item_words`` words, and one at any rate."""
     words = alnum_words(whole_text(text))
     items = benchmark.select(F.col(item).alias("item_id"), F.xxhash64(F.col(item), F.col(text)).alias("item"), words.alias("item_words"))
-    return items.where(F.size("item_words") > 0).dropDuplicates(["item"])
+    return items.where(F.size("item_words") >= max(1, least_item_words)).dropDuplicates(["item"])
 
 
 def _bitmap(known: DataFrame) -> Column:
-    """Bits of the digests of the benchmark, as one constant array of longs.
+    """Bits of the column ``digest``, as one constant array of longs.
 
     Its size follows the benchmark, never the documents, and stops at 2 MB; a fuller bitmap lets more
-    windows through to the join, it never loses one.
+    words and windows through to the join, it never loses one.
     """
     words = 1 << min(18, max(6, (4 * max(1, known.count()) - 1).bit_length()))
     slot, bit = F.col("digest").bitwiseAND(F.lit(words - 1)), F.expr("cast(shiftrightunsigned(digest, 32) & 63 as int)")
@@ -81,6 +106,24 @@ def _agreeing(words: Column, item_words: Column, shift: Column) -> Column:
     return F.transform(item_words, lambda w, i: F.coalesce(F.get(words, shift + i) == w, F.lit(False)).cast("int"))
 
 
+def _candidates(docs: DataFrame, text: str, items: DataFrame, seeds, least_words: int) -> DataFrame:
+    """(k1, k2, item, shift): where a masked window of a text is that of an item. Narrow rows only."""
+    size, code = F.size("item_words"), _codes(F.col("item_words"))
+    # lengths of short items that the benchmark has: their windows are looked up only if there are any
+    short = sorted(r.size for r in items.where(size < least_words).select(size.alias("size")).distinct().collect())
+    whole = [_whole(n) for n in short]
+    coded = items.select("item", size.alias("size"), code.alias("codes"))
+    long_known = coded.where(F.col("size") >= least_words).select("item", F.inline(_seeded(F.col("codes"), seeds)))
+    parts = [long_known] + [coded.where(F.col("size") == n).select("item", F.inline(_seeded(F.col("codes"), [w]))) for n, w in zip(short, whole)]
+    known = stored(reduce(DataFrame.union, parts).withColumnRenamed("at", "item_at"))
+    windows, vocabulary = _bitmap(known), _bitmap(coded.select(F.explode("codes").alias("digest")).distinct())
+    split = docs.select(F.xxhash64(whole_text(text)).alias("k1"), F.xxhash64(F.lit("second"), whole_text(text)).alias("k2"), alnum_words(whole_text(text)).alias("words"))
+    codes = F.transform(_codes(F.col("words")), lambda c: F.when(_maybe_known(vocabulary, c), c))
+    possible = F.concat(_possible(F.col("codes"), seeds, windows), *(_possible(F.col("codes"), [w], windows) for w in whole))
+    seen = split.select("k1", "k2", codes.alias("codes")).select("k1", "k2", F.inline(possible))
+    return seen.join(known, "digest").select("k1", "k2", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -90,30 +133,28 @@ def overlaps(
     window: int = WINDOW,
     similarity: float = SIMILARITY,
     least_words: int = LEAST_WORDS,
+    least_item_words: int = 1,
 ) -> DataFrame:
     """``keep`` columns, item_id, shift, words and agreeing words, a row per overlap of a document.
 
-    One scan, no shuffle of texts: windows that cannot be of the benchmark are left out within the
-    row, the few others are joined with the digests of the benchmark and verified at once against the
-    words that travel with them. Null and empty texts, an empty benchmark and an empty table give no
-    rows; items shorter than ``window`` are compared whole, those below ``least_words`` without
-    tolerance; repeated rows and null keys give rows of their own; other columns are not looked at.
+    Two scans, no shuffle of texts while hits are few. The first leaves out within the row all windows that
+    cannot be of the benchmark and joins the others, as narrow rows, with the digests of the benchmark; the
+    second brings the hits back to their texts, compares the words around them once per item and shift,
+    and splits no other text. Null and empty texts, an empty benchmark and an empty table give no rows;
+    items shorter than ``window`` are compared whole, those below ``least_words`` without tolerance, those
+    below ``least_item_words`` not at all (with 1, an item of one word is found in every text that holds
+    it); repeated rows and null keys give rows of their own; other columns are not looked at.
     """
-    items = stored(benchmark_items(benchmark))
-    size, code = F.size("item_words"), _codes(F.col("item_words"))
-    # lengths of short items that the benchmark has: their windows are looked up only if there are any
-    short = sorted(r.size for r in items.where(size < least_words).select(size.alias("size")).distinct().collect())
-    whole = [_whole(n) for n in short]
-    coded = items.select("item", size.alias("size"), code.alias("codes"))
-    long_known = coded.where(F.col("size") >= least_words).select("item", F.inline(_seeded(F.col("codes"), seeds)))
-    parts = [long_known] + [coded.where(F.col("size") == n).select("item", F.inline(_seeded(F.col("codes"), [w]))) for n, w in zip(short, whole)]
-    known = stored(reduce(DataFrame.union, parts).withColumnRenamed("at", "item_at"))
-    bitmap = _bitmap(known)
-    split = docs.select(*keep, alnum_words(whole_text(text)).alias("words"))
-    names = split.columns[:-1]
-    windows = F.concat(_seeded(F.col("codes"), seeds), *(_seeded(F.col("codes"), [w]) for w in whole))
-    seen = split.select(*names, "words", _codes(F.col("words")).alias("codes")).select(*names, "words", F.inline(F.filter(windows, lambda w: _maybe_known(bitmap, w["digest"]))))
-    shifted = seen.join(known, "digest").withColumn("shift", F.col("at") - F.col("item_at")).join(items, "item")
+    items = stored(benchmark_items(benchmark, least_item_words=least_item_words))
+    found = stored(_candidates(docs, text, items, seeds, least_words).withColumnsRenamed({"k1": "hit_k1", "k2": "hit_k2"}))
+    first, second = text_keys(whole_text(text))
+    named = docs.select(*keep, whole_text(text).alias("whole_text"), first.alias("text_k1"), second.alias("text_k2"))
+    names = named.columns[:-3]
+    # texts with a hit are split before their hits join, so that each is split once
+    keys = stored(found.select("hit_k1", "hit_k2").distinct())
+    same = (F.col("text_k1") == F.col("hit_k1")) & (F.col("text_k2") == F.col("hit_k2"))
+    matched = named.join(keys, same).select(*names, "hit_k1", "hit_k2", alnum_words(F.col("whole_text")).alias("words"))
+    shifted = matched.join(found, ["hit_k1", "hit_k2"]).join(items, "item")
     agree = shifted.select(*names, "item_id", "shift", _agreeing(F.col("words"), F.col("item_words"), F.col("shift")).alias("agree"))
     n = F.least(F.size("agree"), F.lit(window))
     runs = F.transform(
@@ -134,9 +175,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap a benchmark item; equal texts share the verdict."""
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, least_item_words: int = 1) -> DataFrame:
+    """``docs`` without the documents that overlap a benchmark item; equal texts share the verdict.
+
+    All columns are kept whatever their names and types. Items below ``least_item_words`` words are ignored.
+    """
     first, second = text_keys(whole_text())
-    found = overlaps(docs, benchmark, [first, second]).select(F.col("k1").alias("flagged_k1"), F.col("k2").alias("flagged_k2"))
+    found = overlaps(docs, benchmark, [first, second], least_item_words=least_item_words).select("k1", "k2")
     flagged = stored(found.distinct())
-    return docs.join(flagged, (first == F.col("flagged_k1")) & (second == F.col("flagged_k2")), "left_anti")
+    # the columns travel in one struct, so that none of them clashes with the keys
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), first, second)
+    return packed.join(flagged, ["k1", "k2"], "left_anti").select("row.*")

@@ -29,7 +29,7 @@ from fleetfold.llm.common import whole_text
 SPACE = "▁"  # fixed value: stands for a blank within pieces
 UNKNOWN_SURFACE = " ⁇ "  # fixed value: what an unknown id decodes to
 # bounds of the memory a task uses: remembered parts of texts and pairs, ids of one batch
-PARTS_KEPT, PART_LENGTH, PAIRS_KEPT, IDS_AT_ONCE = 400_000, 40, 400_000, 2_000_000
+PARTS_KEPT, PART_LENGTH, PAIRS_KEPT, IDS_AT_ONCE = 400_000, 40, 400_000, 1_000_000
 NEVER = float("-inf")
 
 
@@ -234,31 +234,39 @@ class PieceCoder:
         return "".join(texts)
 
 
-def encode_texts(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``, the array of the ids of the whole text; nothing is shuffled.
+def encode_texts(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids``, the array of the ids of the whole text, and on request what they decode to.
 
-    Null and empty texts have no ids. Repeated rows stay, other columns pass through untouched; a column
-    named ``ids`` is replaced. An empty table gives an empty result. Memory of a task is bounded by its
-    longest text and the constants above; very long texts take time in proportion to their length.
+    Null and empty texts have no ids. Repeated rows stay, other columns pass through untouched; columns named
+    like the new ones are replaced. An empty table gives an empty result. Nothing is shuffled. Memory of a
+    task is bounded by its longest text and the constants above; very long texts take time in proportion to
+    their length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    new = [ids] if decoded is None else [ids, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(shared.value)
         for batch in batches:
-            texts, first, flat, ends = batch.column(batch.num_columns - 1), 0, [], [0]
+            texts, first, flat, ends, again = batch.column(batch.num_columns - 1), 0, [], [0], []
             for i in range(batch.num_rows):
-                flat.append(np.array(coder.encode(texts[i].as_py()), dtype=np.int32))
-                ends.append(ends[-1] + len(flat[-1]))
+                found = coder.encode(texts[i].as_py())
+                flat.append(np.array(found, dtype=np.int32))
+                ends.append(ends[-1] + len(found))
+                if decoded is not None:
+                    again.append(coder.decode(found))
                 if ends[-1] >= IDS_AT_ONCE or i == batch.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                    added = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))]
+                    if decoded is not None:
+                        added.append(pa.array(again, pa.string()))
                     rows = batch.slice(first, i + 1 - first)
-                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*batch.schema.names[:-1], ids])
-                    first, flat, ends = i + 1, [], [0]
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *added], [*batch.schema.names[:-1], *new])
+                    first, flat, ends, again = i + 1, [], [0], []
 
-    kept = docs.drop(ids) if ids != text else docs
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return kept.select("*", whole_text(text).alias("__whole")).mapInArrow(run, schema)
+    kept = docs.drop(*new)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())][: len(new)]
+    whole = whole_text(text).alias("__whole")
+    return docs.select(*(F.col(f"`{c}`") for c in kept.columns), whole).mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def decode_ids(df: DataFrame, model: PieceModel, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

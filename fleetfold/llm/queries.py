@@ -93,7 +93,7 @@ def piece_model() -> str:
 @query
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(piece_model())
-    coded = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids"), model)
+    coded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
