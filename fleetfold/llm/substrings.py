@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.llm.common import stored, whole_text
+from fleetfold.llm.common import stored, text_keys, whole_text
 
 LENGTH, ANCHOR = 50, 20
 REACH = LENGTH - ANCHOR  # bytes before an anchor that a string around it can hold
@@ -261,8 +261,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text."""
+    names = ["cut_k1", "cut_k2", "removed", "spans", "kept"]
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in names]
         for row in _rows(batch):
             text, at, removed, spans, kept = row["text"], 0, 0, 0, hashlib.sha256()
             stop = -1
@@ -272,13 +273,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed += max(0, span[1] - max(at, span[0]))
                 at, stop = max(at, span[1]), max(stop, span[1])
             kept.update(text[at:])
-            for column, value in zip(out, (row["text_id"], removed, spans, kept.hexdigest())):
+            for column, value in zip(out, (row["k1"], row["k2"], removed, spans, kept.hexdigest())):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["cut_id", "removed", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], names)
 
 
 def repeated_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(suspects, spans) for distinct ``texts`` (text_id, rank, text as binary).
+    """(suspects, spans) for stored distinct ``texts`` (text_id, rank, text as binary, other columns).
 
     ``suspects`` are the texts with an anchor that another text has; ``spans`` (text_id, start, stop) covers
     exactly the bytes of 50-byte strings that start in a text of smaller rank, in overlapping pieces.
@@ -286,11 +287,14 @@ def repeated_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = texts.select("text_id", "text").mapInArrow(_emit_anchors, "anchor bigint, text_id bigint, places int")
     together = places.repartition("anchor").sortWithinPartitions("anchor")
     shared = together.mapInArrow(_repeated, "anchor bigint, text_id bigint, wide boolean")
-    per_text = shared.groupBy(F.col("text_id").alias("place_id")).agg(F.collect_list(F.struct("anchor", "wide")).alias("places"))
-    suspects = stored(texts.join(stored(per_text), F.col("text_id") == F.col("place_id")).drop("place_id"))
-    around = suspects.mapInArrow(_contexts, CONTEXT)
-    narrow = around.where(~F.col("wide")).drop("wide").repartition("anchor").sortWithinPartitions("anchor")
+    listed = F.collect_list(F.struct("anchor", "wide")).alias("places")
+    per_text = stored(shared.groupBy(F.col("text_id").alias("place_id")).agg(listed, F.max("wide").alias("has_wide")))
+    suspects = stored(texts.join(per_text, F.col("text_id") == F.col("place_id")).drop("place_id"))
+    seen = suspects.select("text_id", "rank", "text", "places", "has_wide")
+    narrow = seen.mapInArrow(_contexts, CONTEXT).where(~F.col("wide")).drop("wide").repartition("anchor").sortWithinPartitions("anchor")
     spans = narrow.mapInArrow(_compared, "text_id bigint, start bigint, stop bigint")
+    # only texts with an anchor of a wide group are read again
+    around = seen.where("has_wide").mapInArrow(_contexts, CONTEXT)
     strings = around.where("wide").mapInArrow(_digests, "digest binary, text_id bigint, rank bigint, start bigint")
     least = strings.groupBy(F.col("digest").alias("same")).agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most")
     wide = strings.join(least, F.col("digest") == F.col("same")).where("rank > least").select("text_id", "start", (F.col("start") + LENGTH).alias("stop"))
@@ -300,23 +304,26 @@ def repeated_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document.
 
-    A null text counts as empty. Null keys come after all others and are not smaller than each other;
-    equal keys are not smaller either. Equal texts are settled first: copies of a text of at least 50 bytes
-    under a smaller key lose everything, and only one of each text is searched.
+    A null text counts as empty, an empty table gives an empty result, other columns are not looked at. Null
+    keys come after all others and are not smaller than each other; equal keys are not smaller either. Equal
+    texts, told apart by two digests, are settled first: copies of a text of at least 50 bytes under a smaller
+    key lose everything, and only one of each text is stored, numbered and searched.
     """
     body = whole_text()
+    first_key, second_key = text_keys(body)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = stored(docs.select("doc_id", rank.alias("rank"), F.xxhash64(body).alias("text_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
-    first = stored(rows.groupBy(F.col("text_id").alias("first_id")).agg(F.min("rank").alias("first_rank")))
-    ranked = rows.join(first, F.col("text_id") == F.col("first_id"))
-    copies = stored(ranked.where("rank > first_rank").select(F.col("text_id").alias("copy_id"), F.col("rank").alias("copy_rank")).distinct())
-    texts = docs.select(F.xxhash64(body).alias("text_id"), rank.alias("rank"), body.cast("binary").alias("text")).where(F.octet_length("text") >= LENGTH)
-    alone = texts.join(copies, (F.col("text_id") == F.col("copy_id")) & (F.col("rank") == F.col("copy_rank")), "left_anti")
+    rows = stored(docs.select("doc_id", rank.alias("rank"), first_key, second_key, F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
+    first = rows.groupBy(F.col("k1").alias("first_k1"), F.col("k2").alias("first_k2")).agg(F.min("rank").alias("first_rank"))
+    ranked = rows.join(stored(first), (F.col("k1") == F.col("first_k1")) & (F.col("k2") == F.col("first_k2")))
+    # copies meet before the shuffle, so that a large group of them sends one text per task
+    long_texts = docs.where(F.octet_length(body) >= LENGTH).select(first_key, second_key, rank.alias("rank"), body.cast("binary").alias("text"))
+    one_each = long_texts.groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.first("text").alias("text"))
+    alone = stored(one_each.withColumn("text_id", F.monotonically_increasing_id()))
     suspects, spans = repeated_spans(alone)
     per_text = stored(spans.groupBy(F.col("text_id").alias("span_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    cut = suspects.select("text_id", "text").join(per_text, F.col("text_id") == F.col("span_id")).select("text_id", "text", "spans")
-    left = stored(cut.mapInArrow(_cut, "cut_id bigint, removed bigint, spans bigint, kept string").dropDuplicates(["cut_id"]))
-    joined = ranked.join(left, F.col("text_id") == F.col("cut_id"), "left")
+    cut = suspects.select("text_id", "k1", "k2", "text").join(per_text, F.col("text_id") == F.col("span_id")).select("k1", "k2", "text", "spans")
+    left = stored(cut.mapInArrow(_cut, "cut_k1 bigint, cut_k2 bigint, removed bigint, spans bigint, kept string"))
+    joined = ranked.join(left, (F.col("k1") == F.col("cut_k1")) & (F.col("k2") == F.col("cut_k2")), "left")
     copy = (F.col("rank") > F.col("first_rank")) & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
     return joined.select(
