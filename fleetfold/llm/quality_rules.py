@@ -1,10 +1,12 @@
 """Quality rules with host verdicts.
 
 Each document is measured in one pass. Failures of each rule are counted by host (the ``source``
-column), the rates are shrunk towards the corpus by a beta prior fitted to the hosts, and a host is
-barred if its rate is high. A document is rejected if it fails a base rule or any other rule, whatever
-its host, and also if its host is barred: hosts add verdicts, they never excuse a document, so no rows
-added to the table can let a failed document through.
+column) and the rates are shrunk towards the corpus by a beta prior fitted to the hosts. The rate moves
+the limit of the rule: the odds that a document is junk are those of its host times a power of how
+near it comes to the limit, so at a host with worse odds than the corpus less is tolerated, by as much as
+makes up for the host. A document is rejected if it fails a base rule or any other rule, whatever its
+host, if it is beyond the limit of its host, and if most of what its host holds fails: hosts add
+verdicts, they never excuse a document, so no rows added to the table can let a failed one through.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 # a host is barred by a rule if its shrunken failure rate is above this: most of what it holds fails
 BARRED_RATE = 0.5
+# the power: how fast the odds rise with a measure; and the share of a limit that every host tolerates
+STEEPNESS, LEAST_LIMIT = 4.0, 0.5
 
 
 def _windows(words: Column) -> Column:
@@ -81,20 +85,35 @@ def measured(docs: DataFrame, text: str = "text", source: str = "source", keep:
     )
 
 
-def _rules() -> dict[str, Column]:
-    """Rules that also count against the host; ratios of counts, kept whole so that they are exact."""
+def _rules(limit=lambda name: F.lit(1)) -> dict[str, Column]:
+    """Rules that also count against the host; ``limit`` scales what they tolerate, 1 is the rule itself.
+
+    Products of counts instead of ratios, so that the rule itself is exact.
+    """
+    symbols, lines, length = (limit(r) for r in ("symbols", "lines", "length"))
+    n, chars = F.col("n_words"), F.col("word_chars")
     return {
-        "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-        "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
-        "length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 14 * F.col("n_words")),
+        "symbols": 10 * F.col("n_symbols") > n * symbols,
+        "lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines") * lines,
+        "length": (chars * length < 2 * n) | (chars > 14 * n * length),
     }
 
 
+def host_limit(rate: Column, mean: float) -> Column:
+    """Share of a rule's limit that a host with this failure rate may reach; never above 1."""
+    if mean <= 0 or mean >= 1:
+        return F.lit(1.0)
+    odds = F.greatest(rate, F.lit(1e-12)) / F.greatest(1 - rate, F.lit(1e-12))
+    moved = F.pow(F.lit(mean / (1 - mean)) / odds, F.lit(1 / STEEPNESS))
+    return F.least(F.lit(1.0), F.greatest(F.lit(LEAST_LIMIT), moved))
+
+
 def host_verdicts(rows: DataFrame, barred_rate: float = BARRED_RATE) -> DataFrame:
-    """host, documents, and per rule the shrunken failure rate and whether it bars the host.
+    """host, documents, and per rule the shrunken failure rate, the limit it leads to and whether it bars the host.
 
-    The prior is fitted by moments: the spread of the hosts' rates beyond what chance alone gives
-    sets its strength; without such a spread every host gets the rate of the corpus.
+    The prior is fitted by moments: a beta distribution with the mean of the corpus whose variance is the spread
+    of the hosts' rates beyond what chance alone gives; without such a spread every host gets the rate
+    of the corpus. A null source is a host of its own; an empty table has no hosts.
     """
     names = list(_rules())
     hosts = stored(rows.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(f"fails_{r}").alias(r) for r in names)))
@@ -108,12 +127,13 @@ def host_verdicts(rows: DataFrame, barred_rate: float = BARRED_RATE) -> DataFram
         mean = (totals[r] or 0) / n
         spread = max(0.0, (totals[f"{r}_square"] or 0.0) / n - mean * mean)
         chance = mean * (1 - mean) * totals.hosts / n
-        if spread > chance:
-            strength = max(0.0, mean * (1 - mean) - spread) / (spread - chance)
+        between = spread - chance
+        if between > 0:
+            strength = max(0.0, mean * (1 - mean) - between) / between
             rate = (F.col(r) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
         else:
             rate = F.lit(mean)
-        verdicts += [rate.alias(f"rate_{r}"), (rate > barred_rate).alias(f"barred_{r}")]
+        verdicts += [rate.alias(f"rate_{r}"), host_limit(rate, mean).alias(f"limit_{r}"), (rate > barred_rate).alias(f"barred_{r}")]
     return stored(hosts.select(*verdicts))
 
 
@@ -121,19 +141,22 @@ def judged(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``rows`` of ``measured`` with their host's verdicts and ``kept``."""
     # a sum over both sides of the join: no part of it moves below the join, where it would be computed twice
     failures = F.col("base_failed").cast("int")
-    for r in _rules():
-        failures = failures + (F.col(f"fails_{r}") | F.col(f"barred_{r}")).cast("int")
+    for r, beyond in _rules(lambda name: F.col(f"limit_{name}")).items():
+        failures = failures + (F.col(f"fails_{r}") | beyond | F.col(f"barred_{r}")).cast("int")
     return rows.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host"))).withColumn("kept", failures == 0)
 
 
 def quality_by_host(docs: DataFrame, barred_rate: float = BARRED_RATE) -> DataFrame:
-    """doc_id, counts, base_failed, kept for every document."""
+    """doc_id, counts, base_failed, kept for every document, repeated rows and null keys included.
+
+    Null and empty texts fail the base rules; an empty table gives an empty result; other columns are not looked at.
+    """
     rows = stored(measured(docs))
     return judged(rows, host_verdicts(rows, barred_rate))
 
 
 def passing(docs: DataFrame, barred_rate: float = BARRED_RATE) -> DataFrame:
-    """The documents that are kept, with their own columns; texts are measured twice instead of stored."""
-    wrapped = docs.select(F.struct(*docs.columns).alias("whole_row"), "text", "source")
+    """The documents that are kept, with their own columns whatever their names; texts are measured twice instead of stored."""
+    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row"), "text", "source")
     verdicts = host_verdicts(measured(docs, keep=()), barred_rate)
     return judged(measured(wrapped, keep=("whole_row",)), verdicts).where("kept").select("whole_row.*")
