@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W_]+")
 SAMPLE, FIT_SAMPLE = 12_000, 3_000
 LEAST_DOCUMENTS, LEAST_EVIDENCE = 5, 2.0
 CONFIDENCE = 2.0
-FIT_ROUNDS, PENALTY = 25, 1e-2
+FIT_ROUNDS, SETTLED, PENALTY = 60, 1e-2, 1e-2
 # beginnings of words count as evidence too, so that inflected forms are known
 PREFIXES = (4, 5, 6, 7)
 # documents whose words are stepped through together
@@ -76,13 +76,20 @@ def word_evidence(sample: DataFrame) -> dict[str, float]:
 
 
 def passes(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """Probability of the toxic state for every word of every text, by forward and backward passes.
+    """Probability of the toxic state for every word of every text, by forward and backward passes."""
+    return marginals_and_moves(emissions, moves)[0]
+
+
+def marginals_and_moves(emissions: list[np.ndarray], moves: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(marginals per text, expected number of moves between the states over all texts).
 
     ``emissions``: score of the toxic state over the clean one, per word. Texts of like length step together.
+    The probability of a move is the forward message before it, the move itself, the emission behind it
+    and the backward message behind it.
     """
     result: list[np.ndarray] = [np.zeros(0)] * len(emissions)
     by_length = sorted((i for i in range(len(emissions)) if len(emissions[i])), key=lambda i: -len(emissions[i]))
-    ratio = np.exp(moves)
+    ratio, expected = np.exp(moves), np.zeros((2, 2))
     for at in range(0, len(by_length), LANES):
         lanes = by_length[at : at + LANES]
         lengths = np.array([len(emissions[i]) for i in lanes])
@@ -110,12 +117,16 @@ def passes(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
             marginal = both / (both + (1 - f) * (1 - b))
             ahead[t, :n] = marginal
             w = b * odds[t, :n]
+            if t:
+                q = ahead[t - 1, :n]
+                joint = np.stack([(1 - q) * ratio[0, 0] * (1 - b), (1 - q) * ratio[0, 1] * w, q * ratio[1, 0] * (1 - b), q * ratio[1, 1] * w])
+                expected += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
             clean = ratio[0, 0] * (1 - b) + ratio[0, 1] * w
             toxic = ratio[1, 0] * (1 - b) + ratio[1, 1] * w
             back[:n] = toxic / (clean + toxic)
         for lane, i in enumerate(lanes):
             result[i] = ahead[: lengths[lane], lane].copy()
-    return result
+    return result, expected
 
 
 def _features(evidence: np.ndarray) -> np.ndarray:
@@ -128,31 +139,32 @@ def _pairs(labels: np.ndarray) -> np.ndarray:
     return np.array([[np.sum((labels[:-1] == i) & (labels[1:] == j)) for j in (0, 1)] for i in (0, 1)], dtype=float)
 
 
+def likelihood_gradient(features: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log-likelihood of the word labels: what is seen less what the field expects."""
+    marginals, expected = marginals_and_moves([f @ weights for f in features], moves)
+    seen = sum((_pairs(y) for y in labels), np.zeros((2, 2)))
+    return sum((f.T @ (y - m) for f, y, m in zip(features, labels, marginals)), np.zeros(len(weights))), seen - expected
+
+
 def fit_weights(sequences: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, moves and curve by gradient ascent on the penalised likelihood of the word labels.
 
-    The gradient of a move is its count among the labels less its expected count; the latter is taken from
-    the product of neighbouring marginals corrected by the move itself.
+    Ends when a round changes no parameter by more than ``SETTLED``, or after ``FIT_ROUNDS``.
     """
     labels = [((s >= LEAST_EVIDENCE) & bool(t)).astype(float) for s, t in zip(sequences, toxic)]
     features = [_features(s) for s in sequences]
     words = max(1, sum(map(len, sequences)))
     weights, moves = np.array([-3.0, 1.0, 0.0, 0.0]), np.zeros((2, 2))
-    seen_moves = sum((_pairs(x) for x in labels), np.zeros((2, 2)))
     squares_w, squares_m = np.full(4, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(FIT_ROUNDS):
-        marginals = passes([f @ weights for f in features], moves)
-        gradient = sum((f.T @ (y - m) for f, y, m in zip(features, labels, marginals)), np.zeros(4)) / words - PENALTY / words * weights
-        expected = np.zeros((2, 2))
-        for m in marginals:
-            if len(m) > 1:
-                joint = np.stack([np.stack([1 - m[:-1], m[:-1]]).T[:, :, None] * np.stack([1 - m[1:], m[1:]]).T[:, None, :]])[0] * np.exp(moves)
-                expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        gradient_m = (seen_moves - expected) / words - PENALTY / words * moves
+        up_w, up_m = likelihood_gradient(features, labels, weights, moves)
+        gradient, gradient_m = (up_w - PENALTY * weights) / words, (up_m - PENALTY * moves) / words
         squares_w += gradient**2
         squares_m += gradient_m**2
-        weights = weights + 0.5 * gradient / np.sqrt(squares_w)
-        moves = np.clip(moves + 0.2 * gradient_m / np.sqrt(squares_m), -4, 4)
+        step, step_m = 0.5 * gradient / np.sqrt(squares_w), 0.2 * gradient_m / np.sqrt(squares_m)
+        weights, moves = weights + step, np.clip(moves + step_m, -4, 4)
+        if max(np.abs(step).max(), np.abs(step_m).max()) < SETTLED:
+            break
     x = np.array([_summary(s, m) for s, m in zip(sequences, passes([f @ weights for f in features], moves))])
     curve = np.zeros(3)
     for _ in range(50):
@@ -184,7 +196,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_samp
     text = docs.select(F.col("doc_id"), whole_text().alias("text"))
     # the label sample is bounded by its parameter
     labelled = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_doc")).select("text", F.col("label").cast("int").alias("label"), *text_keys(F.col("text")))
-    rows = stored(labelled.dropDuplicates(["k1", "k2"]))
+    # of equal texts with different labels the toxic one counts
+    rows = stored(labelled.groupBy("k1", "k2").agg(F.max("label").alias("label"), F.first("text").alias("text")))
     listed = word_evidence(rows)
     if not listed:
         return None
