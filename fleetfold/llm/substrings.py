@@ -29,7 +29,7 @@ REACH = LENGTH - ANCHOR  # bytes before an anchor that a string around it can ho
 WIDTH = REACH + LENGTH
 # groups of equal anchors beyond this many places are compared by digests of their strings
 GROUP_LIMIT, COLLECTION = 1 << 16, 1 << 16
-ROWS_AT_ONCE, CONTEXTS_AT_ONCE = 64, 20_000
+ROWS_AT_ONCE, CONTEXTS_AT_ONCE, TEXTS_REMEMBERED = 64, 20_000, 1 << 18
 LAST = (1 << 63) - 1
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -66,17 +66,25 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of each text and how often each occurs; the places are found again where they are needed."""
+    """The distinct anchors of each text and how often each occurs; the places are found again where they are needed.
+
+    A text that the task has just seen is passed over, so a large group of copies costs one text per task.
+    """
+    seen: set[int] = set()
     for batch in batches:
         text_ids = batch.column(0).to_numpy(zero_copy_only=False)
         digests, owners, places, size = [], [], [], 0
         for i, text in enumerate(batch.column(1)):
-            digest, times = np.unique(anchors(text.as_py())[1], return_counts=True)
-            digests.append(digest)
-            places.append(times.astype(np.int32))
-            owners.append(np.full(len(digest), text_ids[i]))
-            size += len(digest)
-            if size > 200_000 or i == batch.num_rows - 1:
+            if int(text_ids[i]) not in seen:
+                if len(seen) >= TEXTS_REMEMBERED:
+                    seen.clear()
+                seen.add(int(text_ids[i]))
+                digest, times = np.unique(anchors(text.as_py())[1], return_counts=True)
+                digests.append(digest)
+                places.append(times.astype(np.int32))
+                owners.append(np.full(len(digest), text_ids[i]))
+                size += len(digest)
+            if digests and (size > 200_000 or i == batch.num_rows - 1):
                 columns = np.concatenate(digests).view(np.int64), np.concatenate(owners), np.concatenate(places)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "text_id", "places"])
                 digests, owners, places, size = [], [], [], 0
@@ -278,18 +286,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], names)
 
 
-def repeated_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(suspects, spans) for stored distinct ``texts`` (text_id, rank, text as binary, other columns).
-
-    ``suspects`` are the texts with an anchor that another text has; ``spans`` (text_id, start, stop) covers
-    exactly the bytes of 50-byte strings that start in a text of smaller rank, in overlapping pieces.
-    """
-    places = texts.select("text_id", "text").mapInArrow(_emit_anchors, "anchor bigint, text_id bigint, places int")
+def shared_anchors(texts: DataFrame) -> DataFrame:
+    """(place_id, places, has_wide): for each text (text_id, text) with anchors of several texts, which those are."""
+    places = texts.mapInArrow(_emit_anchors, "anchor bigint, text_id bigint, places int")
     together = places.repartition("anchor").sortWithinPartitions("anchor")
     shared = together.mapInArrow(_repeated, "anchor bigint, text_id bigint, wide boolean")
-    listed = F.collect_list(F.struct("anchor", "wide")).alias("places")
-    per_text = stored(shared.groupBy(F.col("text_id").alias("place_id")).agg(listed, F.max("wide").alias("has_wide")))
-    suspects = stored(texts.join(per_text, F.col("text_id") == F.col("place_id")).drop("place_id"))
+    listed = F.collect_set(F.struct("anchor", "wide")).alias("places")
+    return stored(shared.groupBy(F.col("text_id").alias("place_id")).agg(listed, F.max("wide").alias("has_wide")))
+
+
+def repeated_spans(suspects: DataFrame) -> DataFrame:
+    """(text_id, start, stop) for distinct ``suspects`` (text_id, rank, text, places, has_wide).
+
+    The spans cover exactly the bytes of 50-byte strings that start in a text of smaller rank, in overlapping pieces.
+    """
     seen = suspects.select("text_id", "rank", "text", "places", "has_wide")
     narrow = seen.mapInArrow(_contexts, CONTEXT).where(~F.col("wide")).drop("wide").repartition("anchor").sortWithinPartitions("anchor")
     spans = narrow.mapInArrow(_compared, "text_id bigint, start bigint, stop bigint")
@@ -298,7 +308,7 @@ def repeated_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     strings = around.where("wide").mapInArrow(_digests, "digest binary, text_id bigint, rank bigint, start bigint")
     least = strings.groupBy(F.col("digest").alias("same")).agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most")
     wide = strings.join(least, F.col("digest") == F.col("same")).where("rank > least").select("text_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return suspects, spans.union(wide)
+    return spans.union(wide)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -307,19 +317,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null text counts as empty, an empty table gives an empty result, other columns are not looked at. Null
     keys come after all others and are not smaller than each other; equal keys are not smaller either. Equal
     texts, told apart by two digests, are settled first: copies of a text of at least 50 bytes under a smaller
-    key lose everything, and only one of each text is stored, numbered and searched.
+    key lose everything, and one of each text is searched under the smallest key. Texts are shuffled
+    once, with copies meeting before; those with an anchor of another text are stored and numbered.
     """
     body = whole_text()
-    first_key, second_key = text_keys(body)
+    keys = text_keys(body)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = stored(docs.select("doc_id", rank.alias("rank"), first_key, second_key, F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
-    first = rows.groupBy(F.col("k1").alias("first_k1"), F.col("k2").alias("first_k2")).agg(F.min("rank").alias("first_rank"))
-    ranked = rows.join(stored(first), (F.col("k1") == F.col("first_k1")) & (F.col("k2") == F.col("first_k2")))
-    # copies meet before the shuffle, so that a large group of them sends one text per task
-    long_texts = docs.where(F.octet_length(body) >= LENGTH).select(first_key, second_key, rank.alias("rank"), body.cast("binary").alias("text"))
-    one_each = long_texts.groupBy("k1", "k2").agg(F.min("rank").alias("rank"), F.first("text").alias("text"))
-    alone = stored(one_each.withColumn("text_id", F.monotonically_increasing_id()))
-    suspects, spans = repeated_spans(alone)
+    rows = stored(docs.select("doc_id", rank.alias("rank"), *keys, F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
+    first = stored(rows.groupBy(F.col("k1").alias("first_k1"), F.col("k2").alias("first_k2")).agg(F.min("rank").alias("first_rank")))
+    ranked = rows.join(first, (F.col("k1") == F.col("first_k1")) & (F.col("k2") == F.col("first_k2")))
+    texts = docs.where(F.octet_length(body) >= LENGTH).select(*keys, body.cast("binary").alias("text"))
+    # one digest is enough to name a text where candidates are sought: two texts of one digest share their lists
+    listed = shared_anchors(texts.select(F.col("k1").alias("text_id"), "text"))
+    wanted = listed.join(first, F.col("place_id") == F.col("first_k1")).select(
+        F.col("first_k1").alias("k1"), F.col("first_k2").alias("k2"), F.col("first_rank").alias("rank"), "places", "has_wide"
+    )
+    one_each = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    suspects = stored(one_each.join(wanted, ["k1", "k2"]).withColumn("text_id", F.monotonically_increasing_id()))
+    spans = repeated_spans(suspects)
     per_text = stored(spans.groupBy(F.col("text_id").alias("span_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
     cut = suspects.select("text_id", "k1", "k2", "text").join(per_text, F.col("text_id") == F.col("span_id")).select("k1", "k2", "text", "spans")
     left = stored(cut.mapInArrow(_cut, "cut_k1 bigint, cut_k2 bigint, removed bigint, spans bigint, kept string"))
