@@ -2,26 +2,30 @@
 
 The risk of a classifier is written with positives and unlabelled text alone: the positives' own loss,
 weighted by the class prior, plus the loss of calling unlabelled text negative, less the share of it that
-the positives among it explain. That difference is an estimate of a loss, so it is kept at zero or more.
-The prior is the share of good documents among all labelled training documents.
+the positives among it explain. That difference is an estimate of a loss, so a step that would take it
+below zero is shortened. The prior is estimated from the same two sets: a classifier is fitted between
+them, and above any score the share of unlabelled text over that of positives bounds the prior; the
+least bound is taken. Negative labels are never read.
+
+Every round is one scan of the stored measures of all training text; tasks send sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfold.llm.common import bounded_sample, held_out, stored, training_labels, whole_text
+from fleetfold.llm.common import held_out, stored, whole_text
 
-# documented bounds of the fit
-POSITIVES, UNLABELLED = 5_000, 10_000
-ROUNDS, RATE, PENALTY = 400, 0.05, 1e-3
+ROUNDS, SETTLED, PENALTY, LONGEST_STEP = 40, 1e-3, 1e-3, 2.0
+# bins of the scores, and the shares of positives above a score between which the prior is read off
+BINS, FEWEST, MOST = 1000, 0.25, 0.9
 SYMBOLS, STOPS = b"#*$%&|<>@^~=+{}[]\\_", b".,;:!?"
 THRESHOLD = 0.3
 
@@ -66,58 +70,120 @@ def measures(text: bytes) -> np.ndarray:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [measures(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Weights that minimise the non-negative risk with logistic loss, by Adam over all rows.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    Where the estimated negative loss falls below zero, the step goes against it instead.
-    """
-    every = np.concatenate([positive, unlabelled])
-    center, spread = every.mean(axis=0), every.std(axis=0)
-    spread[spread < 1e-9] = 1.0
-    p, u = (positive - center) / spread, (unlabelled - center) / spread
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-    w = np.zeros(p.shape[1])
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, ROUNDS + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
-        gain = p.T @ (sp - 1) / len(p) * prior
-        against = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        gradient = (gain + against if negative >= 0 else -against) + PENALTY * np.r_[w[:-1], 0.0]
-        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        w = w - RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return Model(center, spread, w[:-1], float(w[-1]), prior)
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    """A model from bounded samples of good training documents and of all training text; None without good ones."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out("doc_id", 5, 0))
-    prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    if not prior:
-        return None
-    good = training_labels(labels.where("quality = 1"), "quality", positives)
-    text = docs.where(~held_out("doc_id", 5, 0)).select("doc_id", whole_text().cast("binary").alias("text"))
-    # the label sample is bounded by its parameter
-    trusted = text.join(F.broadcast(good), F.col("doc_id") == F.col("label_doc")).select("text")
-    web = bounded_sample(text, "doc_id", unlabelled).select("text")
-    measured = stored(
-        trusted.mapInArrow(_measured, "x array<double>").withColumn("trusted", F.lit(True)).union(web.mapInArrow(_measured, "x array<double>").withColumn("trusted", F.lit(False)))
-    )
-    if measured.groupBy("trusted").count().count() < 2:
-        return None
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame.x.to_numpy())
-        model = fit_risk(x[frame.trusted], x[~frame.trusted], min(float(prior), 0.99))
-        return pd.DataFrame({"center": model.center, "spread": model.spread, "weight": model.weights, "bias": model.bias}).reset_index(names="at")
+def _totals(measured: DataFrame, of) -> dict[bool, np.ndarray]:
+    """Sum of ``of(rows)`` over all trusted rows and over all others, by one aggregation."""
 
-    # one task for samples of documented size
-    fitted = measured.groupBy().applyInPandas(fit, "at bigint, center double, spread double, weight double, bias double").toPandas().sort_values("at")
-    return Model(fitted.center.to_numpy(), fitted.spread.to_numpy(), fitted.weight.to_numpy(), float(fitted.bias.iloc[0]), float(prior))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bool, np.ndarray] = {}
+        for batch in batches:
+            trusted = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(trusted), -1)
+            for flag in (True, False):
+                if (trusted == flag).any():
+                    sums[flag] = sums.get(flag, 0.0) + of(x[trusted == flag])
+        for flag, values in sums.items():
+            columns = [pa.array(np.full(len(values), flag)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)]
+            yield pa.RecordBatch.from_arrays(columns, ["trusted", "slot", "value"])
+
+    parts = measured.select("trusted", "x").mapInArrow(task, "trusted boolean, slot int, value double")
+    totals: dict[bool, dict[int, float]] = {}
+    for r in parts.groupBy("trusted", "slot").agg(F.sum("value").alias("value")).collect():
+        totals.setdefault(r.trusted, {})[r.slot] = r.value
+    return {flag: np.array([v[i] for i in range(len(v))]) for flag, v in totals.items()}
+
+
+def risk_sums(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rows, loss as a negative, scores times rows, rows, and curvature, summed; ``weights`` end in the bias."""
+    z = np.c_[x, np.ones(len(x))]
+    margin = z @ weights
+    score = _sigmoid(margin)
+    curved = (z.T * (score * (1 - score))) @ z
+    return np.concatenate([[len(x), np.logaddexp(0, margin).sum()], z.T @ score, z.sum(axis=0), curved.ravel()])
+
+
+def _parts(sums: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Means per row: loss as a negative, gradient, row, curvature."""
+    d = int(round((-2 + math.sqrt(4 + 4 * (len(sums) - 2))) / 2))
+    mean = sums / sums[0]
+    return mean[1], mean[2 : 2 + d], mean[2 + d : 2 + 2 * d], mean[2 + 2 * d :].reshape(d, d)
+
+
+def descend(sums_at, prior: float | None, size: int) -> np.ndarray:
+    """Weights of the least risk by Newton steps over ``sums_at(weights)``, sums of positives and of unlabelled rows.
+
+    Without a prior the two sets are told apart at equal weight. With one, a step that makes the
+    estimated loss of the negatives negative is halved instead of taken.
+    """
+    weights, step = np.zeros(size), np.zeros(size)
+    ridge = PENALTY * np.r_[np.ones(size - 1), 0.0]
+    for _ in range(ROUNDS):
+        (loss_p, gradient_p, row_p, curve_p), (loss_u, gradient_u, _, curve_u) = map(_parts, sums_at(weights))
+        if prior is None:
+            gradient, curve = (gradient_p - row_p + gradient_u) / 2, (curve_p + curve_u) / 2
+        elif loss_u < prior * loss_p:
+            step = step / 2
+            if np.abs(step).max() < SETTLED:
+                return weights - step
+            weights = weights - step
+            continue
+        else:
+            # logistic loss: a positive's loss less its loss as a negative is minus its margin
+            gradient, curve = gradient_u - prior * row_p, curve_u
+        step = -np.linalg.solve(curve + np.diag(ridge + 1e-9), gradient + ridge * weights)
+        step *= min(1.0, LONGEST_STEP / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < SETTLED:
+            break
+        weights = weights + step
+    return weights
+
+
+def least_bound(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Class prior from histograms of the scores of both sets: the least share of unlabelled over positives above a score."""
+    above_p, above_u = (np.cumsum(h[::-1])[::-1] / max(1, h.sum()) for h in (positive, unlabelled))
+    usable = (above_p >= FEWEST) & (above_p <= MOST)
+    if not usable.any():
+        usable = above_p > 0
+    return float(np.clip((above_u[usable] / above_p[usable]).min(), 0.01, 0.99))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from all good training documents and all training text; None without good ones or without text.
+
+    A document counts as good once if any of its labels says so; rows without a label or a key are unlabelled text.
+    """
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
+    keys = stored(good.select(F.col("doc_id").alias("label_doc")).distinct().withColumn("good", F.lit(True)))
+    text = docs.where(~held_out("doc_id", 5, 0)).select(whole_text().cast("binary").alias("text"), F.col("doc_id").cast("string").alias("doc_id"))
+    # the join sees measures, no texts
+    rows = text.mapInArrow(_measured, "doc_id string, x array<double>")
+    same = F.col("doc_id") == F.col("label_doc").cast("string")
+    once = stored(rows.join(keys, same, "left").select("x", F.coalesce("good", F.lit(False)).alias("good")))
+    # a trusted document is unlabelled text as well
+    measured = once.select(F.explode(F.when(F.col("good"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("trusted"), "x")
+    first = _totals(measured, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    if len(first) < 2:
+        return None
+    d = (len(first[False]) - 1) // 2
+    mean = first[False][1:] / first[False][0]
+    center, spread = mean[:d], np.sqrt(np.maximum(mean[d:] - mean[:d] ** 2, 0.0))
+    spread = np.where(spread < 1e-9, 1.0, spread)
+
+    def sums_at(weights: np.ndarray):
+        sums = _totals(measured, lambda x: risk_sums((x - center) / spread, weights))
+        return sums[True], sums[False]
+
+    apart = descend(sums_at, None, d + 1)
+    counts = _totals(measured, lambda x: np.bincount((_sigmoid((x - center) / spread @ apart[:-1] + apart[-1]) * (BINS - 1)).astype(int), minlength=BINS).astype(float))
+    prior = least_bound(counts[True], counts[False])
+    weights = descend(sums_at, prior, d + 1)
+    return Model(center, spread, weights[:-1], float(weights[-1]), prior)
 
 
 def quality_scores(docs: DataFrame, model: Model | None) -> DataFrame:

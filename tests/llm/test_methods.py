@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from fleetfold.llm import decontamination, quality_rules, toxicity
+from fleetfold.llm import decontamination, quality_model, quality_rules, toxicity
 
 
 # --- toxicity field -----------------------------------------------------------------------------
@@ -155,3 +155,43 @@ def test_overlaps_match_brute_force_under_random_substitutions(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(texts) - {i for i, _ in want}
     few = decontamination.without_benchmark(docs, bench, least_item_words=41)
     assert few.count() == len(texts)
+
+
+# --- quality classifier -------------------------------------------------------------------------
+
+
+def test_prior_and_risk_need_no_negatives():
+    rng = np.random.default_rng(8)
+    good, bad = rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (1000, 3))
+    trusted, web = rng.normal(1.5, 1, (1500, 3)), np.r_[good, bad]
+
+    def sums_at(weights):
+        return quality_model.risk_sums(trusted, weights), quality_model.risk_sums(web, weights)
+
+    apart = quality_model.descend(sums_at, None, 4)
+    counts = [np.bincount((quality_model._sigmoid(x @ apart[:-1] + apart[-1]) * 999).astype(int), minlength=1000).astype(float) for x in (trusted, web)]
+    prior = quality_model.least_bound(*counts)
+    assert abs(prior - 0.8) < 0.05
+    weights = quality_model.descend(sums_at, prior, 4)
+    scores = quality_model._sigmoid(web @ weights[:-1] + weights[-1])
+    assert ((scores >= 0.5) == (np.arange(5000) < 4000)).mean() > 0.98
+    # a prior that is too high: the estimated loss of the negatives stays at zero or more
+    bold = quality_model.descend(sums_at, 0.95, 4)
+    (loss_p, *_), (loss_u, *_) = map(quality_model._parts, sums_at(bold))
+    assert loss_u - 0.95 * loss_p > -1e-3
+
+
+def test_risk_gradient_equals_finite_differences():
+    rng = np.random.default_rng(9)
+    trusted, web, prior, weights = rng.normal(size=(50, 2)), rng.normal(size=(80, 2)), 0.6, rng.normal(size=3)
+
+    def risk(w):
+        p, u = (np.c_[x, np.ones(len(x))] @ w for x in (trusted, web))
+        return prior * np.logaddexp(0, -p).mean() + np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+
+    (_, _, row, _), (_, gradient, _, curve) = (quality_model._parts(quality_model.risk_sums(x, weights)) for x in (trusted, web))
+    for i in range(3):
+        off = np.eye(3)[i] * 1e-5
+        assert math.isclose((gradient - prior * row)[i], (risk(weights + off) - risk(weights - off)) / 2e-5, rel_tol=1e-5, abs_tol=1e-7)
+    again = quality_model._parts(quality_model.risk_sums(web, weights + np.array([1e-5, 0, 0])))[1]
+    assert np.allclose((again - gradient) / 1e-5, curve[0], atol=1e-3)
