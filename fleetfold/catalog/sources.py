@@ -66,15 +66,13 @@ def _card_text(spark, sf):
        FROM readings WHERE event_id % 2 = 0""",
 )
 def s03(spark, sf):
+    """Two sets of card files with different columns, written and read back by their headers."""
     df = fx.readings(spark, sf)
-    first = df.select(F.col("timestamp").alias("timestamp_iso"), "monitor", "pm25")
-    second = df.where("event_id % 2 = 0").select(
-        "monitor", F.col("timestamp").alias("timestamp_iso"), "pm1"
-    )
-    stacked = tables.empty_table(spark, tables.CARD_SCHEMA)
-    for part in (first, second):
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    return stacked.withColumn("source", F.lit("sd_card"))
+    time = F.col("timestamp").alias("timestamp_iso")
+    first, second = scratch(spark, "cards"), scratch(spark, "cards")
+    df.select(time, "monitor", "pm25").write.option("header", True).csv(first)
+    df.where("event_id % 2 = 0").select("monitor", time, "pm1").write.option("header", True).csv(second)
+    return tables.read_cards(spark, [first, second, f"{second}-absent"])
 
 
 @query(
@@ -95,7 +93,14 @@ def s04(spark, sf):
        WHERE pm10 < 5000""",
 )
 def s05(spark, sf):
-    return tables.device_rows(_card_text(spark, sf), ["pm1", "pm25", "pm10"])
+    """Card files in one folder per device, written and read back; the folder names the monitor."""
+    folder, channels = scratch(spark, "devices"), ["pm1", "pm25", "pm10"]
+    rows = fx.readings(spark, sf).select("monitor", F.col("timestamp").alias("timestamp_iso"), *channels)
+    spread = F.pmod(F.xxhash64("timestamp_iso"), F.lit(4))
+    rows.repartition("monitor", spread).write.option("header", True).partitionBy("monitor").csv(folder)
+    return tables.read_device_files(
+        spark, [f"{folder}/*"], channels, monitor=lambda p: F.regexp_extract(p, "monitor=([^/]+)/", 1)
+    )
 
 
 @query(
@@ -267,6 +272,31 @@ def s10(spark, sf):
     )
 
 
+@query(
+    "s10_pairs_of_split_files",
+    """SELECT CAST(ts AS DATE) AS date,
+              CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS INTEGER)
+                AS ordinal, event_id, value * 2 AS pm10, value AS pm25 FROM events""",
+)
+def s10_split(spark, sf):
+    """One text file per day of the whole fleet, written, read in blocks and paired by line numbers."""
+    pieces = F.posexplode(
+        F.array(F.concat(F.lit(" P  "), F.col("event_id").cast("string")), F.lit("K1 0 0 0"),
+                F.concat_ws("   ", F.lit("N_ "), F.col("value") * 2, F.col("value")))
+    ).alias("sub", "line")
+    lines = fx.table(spark, sf, "events").select(F.to_date("ts").alias("date"), "event_id", pieces)
+    path = scratch(spark, "optical")
+    placed = lines.repartition("date").sortWithinPartitions("date", "event_id", "sub")
+    placed.select("date", "line").write.partitionBy("date").text(path)
+    pairs = logs.pair_lines(logs.read_lines(spark, path))
+    values = F.split("n_line", r"\s+")
+    return pairs.select(
+        F.to_date(F.regexp_extract("path", "date=([0-9-]+)", 1)).alias("date"), "ordinal",
+        F.col("p_line").cast("bigint").alias("event_id"),
+        values[0].cast("double").alias("pm10"), values[1].cast("double").alias("pm25"),
+    )
+
+
 @query(
     "s11_audit_folders",
     """SELECT 'MOD_PM_' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS folder,
@@ -392,6 +422,33 @@ def s15_csv(spark, sf):
     )
 
 
+@query(
+    "s18_incremental_load",
+    """SELECT monitor, timestamp AS timestamp_iso, pm25, date FROM readings
+       WHERE NOT (date = DATE '2024-01-12' AND event_id % 3 = 0)""",
+)
+def s18(spark, sf):
+    """Three loads of growing folders: the first days, all days but one late batch, a corrected file set."""
+    from fleetfold.sources.loads import load_new_files, loaded_readings
+
+    df = fx.readings(spark, sf)
+    inbox, folder, day = scratch(spark, "inbox"), scratch(spark, "loaded"), F.dayofmonth("date")
+    names = ["monitor", "timestamp_iso", "pm25"]
+    cells = df.select("event_id", "date", "monitor", F.col("timestamp").alias("timestamp_iso"), "pm25")
+    late = F.col("date") == F.lit(dt.date(2024, 1, 12))
+    batches = [cells.where(day <= 10), cells.where((day > 10) & ~late), cells.where(late & (F.col("event_id") % 3 != 0))]
+
+    def read(paths):
+        raw = tables.read_by_header(spark, paths, names)
+        time = F.to_timestamp("timestamp_iso").cast("timestamp_ntz").alias("timestamp_iso")
+        return raw.select("monitor", time, F.col("pm25").cast("double").alias("pm25"), F.to_date("timestamp_iso").alias("date"), "_path")
+
+    for number, batch in enumerate(batches):
+        batch.select(*names).write.option("header", True).csv(f"{inbox}/{number}")
+        load_new_files(spark, [f"{inbox}/*"], folder, read)
+    return loaded_readings(spark, folder).drop("_path")
+
+
 @query("s17_baseline_calibration", "SELECT monitor, slope, intercept FROM cal")
 def s17(spark, sf):
     folder = scratch(spark, "calibration")

@@ -1,18 +1,20 @@
-"""Text logs of instruments: daily files, parsed line by line with built-in expressions.
+"""Text logs of instruments, parsed line by line with built-in expressions.
 
-The instruments write one small file per device and day. A file is one row (path, content), so
-line order is kept without any sort or shuffle.
+``read_lines`` numbers the lines of files of any size: a file is cut into blocks that different tasks
+read, and a line's number is its place in the block plus the lines of the blocks before it. Functions
+take such lines, or rows (path, content) of small whole files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetfold.functions.calendar import moment, truncate
 from fleetfold.functions.columns import FOLDER_ID_PATTERN, adc_value, adc_volts
+from fleetfold.session import settle
 
 # Fixed values of the optical reference instrument: factor and offset of each analogue channel.
 TEMPERATURE = (20.0, 2.0)
@@ -20,6 +22,7 @@ HUMIDITY = (20.0, 0.0)
 PRESSURE = (176.21145, 0.275)
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+LINE_END = r"\r?\n"
 
 
 def read_whole_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -38,8 +41,34 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def lines_of(content: Column | str) -> Column:
-    return F.split(content, r"\r?\n")
+def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, block, number, line) of text files; numbers start at 1 in every file.
+
+    The lines are stored once with an id that counts within a task, so the place within a block is a
+    difference of two ids; only counts per block are summed up. Empty files have no lines.
+    """
+    raw = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", r"\r$", "").alias("line"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    lines = settle(raw)
+    blocks = lines.groupBy("path", "block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(
+        blocks.select("path", "block", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    )
+    numbered = lines.join(starts, ["path", "block"])
+    return numbered.select("path", "block", (F.col("_at") + F.col("_shift")).alias("number"), "line")
+
+
+def numbered_lines(files: DataFrame) -> DataFrame:
+    """(path, block, number, line), also of small whole files given as (path, content)."""
+    if "content" not in files.columns:
+        return files.select("path", "block", "number", "line")
+    split = files.select("path", F.posexplode(F.split("content", LINE_END)).alias("_i", "line"))
+    return split.select("path", F.lit(0).cast("bigint").alias("block"), (F.col("_i") + 1).cast("bigint").alias("number"), "line")
 
 
 def file_name(path: Column | str) -> Column:
@@ -50,9 +79,8 @@ def folder_name(path: Column | str) -> Column:
     return F.try_element_at(F.split(path, "/"), F.lit(-2))
 
 
-def pair_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """Pair the i-th P line of a file with its i-th N line; P lines without partner are dropped."""
-    lines = lines_of(content)
+def _pairs_in_row(files: DataFrame) -> DataFrame:
+    lines = F.split("content", LINE_END)
     p_lines = F.filter(lines, lambda v: v.rlike(r"^\s*P"))
     n_lines = F.filter(lines, lambda v: v.rlike(r"^\s*N_"))
     pairs = F.zip_with(
@@ -72,6 +100,34 @@ def pair_lines(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def pair_lines(files: DataFrame) -> DataFrame:
+    """Pair the i-th P line of a file with its i-th N line; lines without partner are dropped.
+
+    Small whole files are paired within their row. Of lines of large files the kinds are counted per
+    block and the counts summed over the blocks before, so a task orders the lines of one block at most.
+    """
+    if "content" in files.columns:
+        return _pairs_in_row(files)
+    line = F.col("line")
+    kind = F.when(line.rlike(r"^\s*P"), "p").when(line.rlike(r"^\s*N_"), "n").alias("_kind")
+    marked = numbered_lines(files).select("path", "block", "number", kind, "line").where("_kind IS NOT NULL")
+    group = ["path", "block", "_kind"]
+    counts = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("path", "_kind").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = settle(counts.select(*group, F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy("number"))
+    ordinal = (F.col("_before") + F.col("_inside")).cast("int").alias("ordinal")
+    placed = marked.withColumn("_inside", inside).join(before, group).select("path", ordinal, "_kind", "line")
+    of = lambda k: F.max(F.when(F.col("_kind") == k, F.col("line"))).alias(f"_{k}")
+    pairs = placed.groupBy("path", "ordinal").agg(of("p"), of("n")).where("_p IS NOT NULL AND _n IS NOT NULL")
+    return pairs.select(
+        "path",
+        "ordinal",
+        F.regexp_replace(F.trim("_p"), r"^P\s+", "").alias("p_line"),
+        F.regexp_replace(F.trim("_n"), r"^N_\s+", "").alias("n_line"),
+    )
+
+
 def optical_readings(files: DataFrame) -> DataFrame:
     """Readings of the optical instrument: packed analogue values to °C, %RH and hPa, plus PM."""
     paired = pair_lines(files).withColumns(
@@ -102,26 +158,24 @@ def optical_readings(files: DataFrame) -> DataFrame:
     )
 
 
-def table_rows(
-    files: DataFrame, columns: Sequence[str], preamble: int = 3, content: str = "content"
-) -> DataFrame:
+def table_rows(files: DataFrame, columns: Sequence[str], preamble: int = 3) -> DataFrame:
     """Text cells of the named columns of delimited files whose header follows ``preamble`` lines.
 
-    Ragged rows give null cells; characters outside ASCII are removed; files without a column
-    give null for it.
+    Small whole files are cut within their row; of lines the headers are a small table joined by path. Ragged rows give null cells; characters
+    outside ASCII are removed; files without a column give null for it.
     """
-    split = files.withColumn("_lines", lines_of(content)).withColumn(
-        "_header",
-        F.transform(
-            F.split(F.coalesce(F.try_element_at("_lines", F.lit(preamble + 1)), F.lit("")), ","),
-            lambda h: F.trim(F.replace(h, F.lit('"'), F.lit(""))),
-        ),
-    )
-    body = F.slice("_lines", F.lit(preamble + 2), F.size("_lines"))
-    rows = split.select("path", "_header", F.explode(body).alias("_line")).where(
-        F.length(F.trim("_line")) > 0
-    )
-    cells = F.split("_line", ",")
+    names = lambda line: F.transform(F.split(line, ","), lambda h: F.trim(F.replace(h, F.lit('"'), F.lit(""))))
+    if "content" in files.columns:
+        lines = F.split("content", LINE_END)
+        first = F.coalesce(F.try_element_at(lines, F.lit(preamble + 1)), F.lit(""))
+        rest = F.explode(F.slice(lines, F.lit(preamble + 2), F.size(lines))).alias("line")
+        rows = files.select("path", names(first).alias("_header"), rest)
+    else:
+        lines = numbered_lines(files)
+        heads = settle(lines.where(F.col("number") == preamble + 1).select("path", names(F.col("line")).alias("_header")))
+        rows = lines.where(F.col("number") > preamble + 1).join(heads, "path")
+    rows = rows.where(F.length(F.trim("line")) > 0)
+    cells = F.split("line", ",")
 
     def cell(name: str) -> Column:
         at = F.array_position("_header", F.lit(name)).cast("int")
@@ -134,7 +188,7 @@ def table_rows(
 
 def raw_file_hours(files: DataFrame, monitor: Column, start, end, preamble: int = 3) -> DataFrame:
     """Observations per hour of raw device files; unreadable timestamps are dropped."""
-    cells = table_rows(files.withColumn("_monitor", monitor), ["timestamp_iso"], preamble)
+    cells = table_rows(files, ["timestamp_iso"], preamble)
     moments = cells.select(
         "path",
         F.try_to_timestamp("timestamp_iso", F.lit(TIMESTAMP_FORMAT))
@@ -166,18 +220,20 @@ def attenuation_rows(
 
 
 def device_serials(files: DataFrame, header_lines: int | None = None) -> DataFrame:
-    """Serial number of each file: the first ``deviceSN`` line decides, within ``header_lines`` if given."""
-    pattern = r"(?i)^\s*deviceSN\s*[,;\t]\s*"
-    lines = lines_of("content")
-    head = lines if header_lines is None else F.slice(lines, 1, header_lines)
-    first = F.try_element_at(
-        F.filter(head, lambda v: v.rlike(r"(?i)^\s*deviceSN\s*[,;\t]")), F.lit(1)
-    )
-    value = F.trim(F.regexp_replace(first, pattern, ""))
-    plain = F.translate(F.regexp_replace(value, '^"|"$', ""), "_", "-")
-    return files.select(
-        "path", folder_name("path").alias("folder"), F.when(plain != "", plain).alias("serial")
-    )
+    """(path, folder, serial) of each file: a filter on its lines finds the ``deviceSN`` ones, the first counts.
+
+    Only the first ``header_lines`` lines count if given. Files that have none get a null serial.
+    """
+    label = r"^\s*devicesn\s*[,;\t]\s*"
+    lines = numbered_lines(files)
+    named = F.lower("line").rlike(label)
+    if header_lines is not None:
+        named = named & (F.col("number") <= header_lines)
+    value = F.trim(F.regexp_replace("line", f"(?i){label}", ""))
+    serial = F.translate(F.regexp_replace(value, '^"|"$', ""), "_", "-")
+    found = F.when(named, F.struct("number", F.when(serial != "", serial).alias("serial")))
+    first = lines.groupBy("path").agg(F.min(found).alias("_first"))
+    return first.select("path", folder_name("path").alias("folder"), F.col("_first.serial").alias("serial"))
 
 
 def audit_folders(files: DataFrame, header_lines: int | None = None) -> DataFrame:

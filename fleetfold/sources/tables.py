@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +21,7 @@ from fleetfold.functions.columns import (
 from fleetfold.operators.calibrate import CALIBRATION_SCHEMA
 from fleetfold.operators.ordering import first_per_key
 from fleetfold.operators.reshape import coalesce_known, select_known
-from fleetfold.session import shared_folder
+from fleetfold.session import settle, shared_folder
 
 CHANNELS = ("pm1", "pm25", "pm10", "co", "no", "no2", "o3")
 CLOUD_SCHEMA = (
@@ -88,31 +88,34 @@ def read_by_header(
 ) -> DataFrame:
     """The columns ``names`` as text, and ``_path``, from CSV files that each have their own header.
 
-    One job reads the header of every file; files with the same header are then read together, so
-    the plan grows with the different headers, not with the files.
+    The header of every file is found in one job and kept as a table, which the lines join by path; the
+    driver sees the different headers only. All lines are then read in one scan, split at any size, and
+    parsed by the header of their file. Lines equal to their header are headers; blank lines are skipped.
     """
-    none = empty_table(spark, ", ".join(f"{n} string" for n in [*names, "_path"]))
-    at, start = F.monotonically_increasing_id(), F.col("_metadata.file_block_start")
+    start = F.col("_metadata.file_block_start")
     lines = spark.read.options(**options).text(list(paths)).select(
-        F.col("_metadata.file_path").alias("_path"), start.alias("_start"), "value", at.alias("_at")
+        F.col("_metadata.file_path").alias("_path"), start.alias("_start"), "value",
+        F.monotonically_increasing_id().alias("_at"),
     )
-    heads = lines.where("_start = 0").groupBy("_path").agg(F.min_by("value", "_at").alias("header"))
-    files: dict[str, list[str]] = {}
-    for row in heads.collect():
-        files.setdefault(row.header.rstrip("\r"), []).append(row._path)
-    out = none
-    for header, members in sorted(files.items()):
-        found = _unique_names(next(csv.reader([header]), []))
+    first = F.min_by("value", "_at").alias("_header")
+    heads = settle(lines.where("_start = 0").groupBy(F.col("_path").alias("_file")).agg(first))
+    headers = sorted(r[0] for r in heads.select("_header").distinct().collect())
+    if not headers:
+        return empty_table(spark, ", ".join(f"{n} string" for n in [*names, "_path"]))
+    cell = F.lit(None).cast("string")
+    parsed = F.lit(None)
+    for header in headers:
+        found = _unique_names(next(csv.reader([header.rstrip("\r")]), []))
         schema = StructType([StructField(n, StringType()) for n in found])
-        rows = spark.read.options(header=True, mode="PERMISSIVE", **options).schema(schema).csv(list(paths))
-        if len(files) > 1:
-            rows = rows.where(F.col("_metadata.file_path").isin(members))
-        wanted = [F.col(f"`{n}`") for n in names if n in found]
-        out = out.unionByName(
-            rows.select(*wanted, F.col("_metadata.file_path").alias("_path")),
-            allowMissingColumns=True,
-        )
-    return out
+        cells = F.from_csv("value", schema.toDDL(), {"mode": "PERMISSIVE"})
+        wanted = F.struct(*[(cells[n] if n in found else cell).alias(n) for n in names])
+        parsed = F.when(F.col("_header") == F.lit(header), wanted).otherwise(parsed)
+    # one header for all files needs no join
+    named = lines.withColumn("_header", F.lit(headers[0]))
+    if len(headers) > 1:
+        named = lines.join(heads, F.col("_path") == F.col("_file"))
+    rows = named.where((F.col("value") != F.col("_header")) & (F.trim("value") != ""))
+    return rows.select(parsed.alias("_row"), "_path").select("_row.*", "_path")
 
 
 def nulls_for_nan(df: DataFrame) -> DataFrame:
@@ -185,20 +188,21 @@ def _typed(raw: DataFrame, names: Sequence[str], schema: str) -> DataFrame:
 
 def read_device_files(
     spark: SparkSession, paths: Sequence[str], channels: Sequence[str],
-    limit_pm10: bool = True,
+    limit_pm10: bool = True, monitor: Callable[[str], Column] = monitor_from_path,
 ) -> DataFrame:
-    """Card files of one device class; the monitor id comes from the file name."""
+    """Card files of one device class; the monitor id comes from the file name, or from the path as ``monitor`` says."""
     raw = read_by_header(spark, paths, ["timestamp_iso", *channels])
-    return device_rows(raw, channels, limit_pm10=limit_pm10)
+    return device_rows(raw, channels, limit_pm10=limit_pm10, monitor=monitor)
 
 
 def device_rows(
-    raw: DataFrame, channels: Sequence[str], path: str = "_path", limit_pm10: bool = True
+    raw: DataFrame, channels: Sequence[str], path: str = "_path", limit_pm10: bool = True,
+    monitor: Callable[[str], Column] = monitor_from_path,
 ) -> DataFrame:
-    """Typed readings of card rows that carry the path of their file."""
+    """Typed readings of card rows that carry the path of their file; ``monitor`` reads the id off it."""
     named = raw.select(
         F.col("timestamp_iso").try_cast("timestamp_ntz").alias("timestamp_iso"),
-        monitor_from_path(path).alias("monitor"),
+        monitor(path).alias("monitor"),
         *[F.col(c).try_cast("double").alias(c) for c in channels],
     )
     rows = nulls_for_nan(named)

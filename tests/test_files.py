@@ -134,3 +134,33 @@ def test_many_files_of_one_header_are_one_scan(spark, tmp_path):
     df = tables.read_typed(spark, str(tmp_path / "many"), "monitor string, slope double", "csv")
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert df.count() == 40
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    texts = {f"{n}.log": [f"{n} {i} {'x' * (i % 90)}" for i in range(5000)] for n in "ab"} | {"one.log": ["only"], "none.log": []}
+    for name, lines in texts.items():
+        write(tmp_path / "logs" / name, "\r\n".join(lines) + ("\n" if lines else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        rows = logs.read_lines(spark, str(tmp_path / "logs")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r.block for r in rows}) > 3
+    for name, lines in texts.items():
+        mine = sorted((r.number, r.line) for r in rows if r.path.endswith(f"/{name}"))
+        assert mine == [(i + 1, line) for i, line in enumerate(lines)]
+
+
+def test_pairs_across_blocks(spark, tmp_path):
+    text, n = [], 3000
+    for i in range(n):
+        text += [f" P  {i}"] + ["other"] * (i % 3) + ([f"N_ {i}"] if i % 4 else [])
+    write(tmp_path / "logs" / "f.TXT", "\n".join(text))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        pairs = logs.pair_lines(logs.read_lines(spark, str(tmp_path / "logs"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    partners = [i for i in range(n) if i % 4]
+    assert sorted((r.ordinal, int(r.p_line), int(r.n_line)) for r in pairs) == [(k + 1, k, i) for k, i in enumerate(partners)]
