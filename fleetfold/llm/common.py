@@ -60,16 +60,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hashable(name: str, kind: str) -> Column:
+    """The column in a form that has a digest: maps by their sorted entries, deeper ones by their text."""
+    column = F.col(f"`{name}`")
+    if "map<" not in kind:
+        return column
+    if kind.startswith("map<") and kind.count("map<") == 1:
+        return F.array_sort(F.map_entries(column))
+    return F.to_json(F.struct(column))
+
+
 def row_keys(df: DataFrame) -> list[Column]:
     """Two independent 64-bit digests of a whole row, nulls told apart; equal rows share them."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = [_hashable(*c) for c in df.dtypes]
     nulls = F.concat(*(F.when(c.isNull(), "0").otherwise("1") for c in columns))
     return [F.xxhash64(nulls, *columns).alias("row_x1"), F.xxhash64(F.lit("second"), nulls, *columns).alias("row_x2")]
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
-    """One of each set of equal rows, with ``row_x1`` and ``row_x2``; equal rows meet before the shuffle."""
-    return df.select("*", *row_keys(df)).dropDuplicates(["row_x1", "row_x2"])
+    """(whole_row, row_x1, row_x2): one of each set of equal rows; equal rows meet before the shuffle.
+
+    The columns of ``df`` are packed into one struct, so that no name of theirs clashes with others.
+    """
+    packed = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole_row")
+    return df.select(packed, *row_keys(df)).dropDuplicates(["row_x1", "row_x2"])
 
 
 def held_out(key: str, parts: int, part: int) -> Column:

@@ -81,11 +81,12 @@ def mix_words(docs: DataFrame, seed: int = 0, text: str = "text", source: str =
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix, repeated as often as taken; the one at a cut is in if half of it is taken.
 
-    Documents without words take no part.
+    Documents without words take no part. Columns are kept whatever their names and types; repeated rows are
+    taken as often as all of them together; an empty table gives an empty result.
     """
     keyed = docs.select(*row_keys(docs), "doc_id", "source", "text")
     taken = mix_words(keyed, seed, keep=("row_x1", "row_x2")).where("taken > 0")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     copies = stored(taken.groupBy("row_x1", "row_x2").agg(F.sum(times).alias("copies")).where("copies > 0"))
     repeated = distinct_rows(docs).join(copies, ["row_x1", "row_x2"])
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_of_row")).drop("copy_of_row")
+    return repeated.select("whole_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole_row.*")

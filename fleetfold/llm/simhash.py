@@ -243,11 +243,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of each component: smallest key, nulls last, then a row digest."""
+    """``docs`` with the first document of each component: smallest key, nulls last, then a row digest.
+
+    Columns are kept whatever their names and types. Null and empty texts are one group; of repeated rows one
+    stays; an empty table gives an empty result.
+    """
     keyed = docs.select(*row_keys(docs), F.col("doc_id").alias("row_doc"), F.col("text").alias("row_text"))
     rows = stored(with_fingerprints(keyed, ("row_x1", "row_x2", "row_doc"), "row_text"))
     roots = component_roots(rows.select("fp").distinct())
     grouped = rows.join(roots, F.col("fp") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "fp"))
     first = F.min(F.struct(F.col("row_doc").isNull().alias("unnamed"), "row_doc", "row_x1", "row_x2")).alias("first")
     kept = stored(grouped.groupBy("root").agg(first).select("first.row_x1", "first.row_x2"))
-    return distinct_rows(docs).join(kept, ["row_x1", "row_x2"], "left_semi").select(*docs.columns)
+    return distinct_rows(docs).join(kept, ["row_x1", "row_x2"], "left_semi").select("whole_row.*")

@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from fleetfold.llm import decontamination, quality_model, quality_rules, toxicity
+from fleetfold.llm import decontamination, mixing, quality_model, quality_rules, simhash, toxicity
 
 
 # --- toxicity field -----------------------------------------------------------------------------
@@ -195,3 +195,26 @@ def test_risk_gradient_equals_finite_differences():
         assert math.isclose((gradient - prior * row)[i], (risk(weights + off) - risk(weights - off)) / 2e-5, rel_tol=1e-5, abs_tol=1e-7)
     again = quality_model._parts(quality_model.risk_sums(web, weights + np.array([1e-5, 0, 0])))[1]
     assert np.allclose((again - gradient) / 1e-5, curve[0], atol=1e-3)
+
+
+# --- columns of any name ------------------------------------------------------------------------
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    schema = """doc_id bigint, text string, lang string, source string, n_chars bigint, row_x1 string, copies int, k1 string,
+        flagged_k1 string, whole_row string, fp string, m map<string, int>, deep array<map<string, int>>"""
+    rows = [(i, f"text number {i} of some words " * 3, "en", "s", 1, "c", 7, "k", "f", "w", "p", {"b": 2, "a": i}, [{"x": 1}]) for i in range(4)]
+    rows += [rows[0], (9, None, None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, "text number 2 of some words text number 2 of some words")], "item_id bigint, text string")
+    for stage, keys in (
+        (simhash.one_per_group(docs), None),
+        (mixing.mixed(docs), None),
+        (decontamination.without_benchmark(docs, bench), [9]),
+        (quality_rules.passing(docs), []),
+    ):
+        assert stage.columns == docs.columns and stage.schema == docs.schema
+        found = stage.collect()
+        assert all(r.m is None or r.m["b"] == 2 for r in found)
+        if keys is not None:
+            assert sorted(r.doc_id for r in found) == keys
