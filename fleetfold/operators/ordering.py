@@ -97,6 +97,7 @@ def _ranked_cells(cells: DataFrame, wanted: DataFrame, groups: list[str], keys:
     """The wanted ranks with the cell each falls into; ``groups`` name what ``cells`` divides."""
     upto = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)) + F.col("_below"))
+    # without groups both sides are a few thousand rows at most
     joined = join_on(wanted, placed, groups) if groups else wanted.join(placed, F.col("_rank") < F.col("_before") + F.col("_n"))
     inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
     return joined.where(inside).select(*keys, "_rank", "_lo", "_hi", F.col("_before").alias("_below"))
@@ -161,7 +162,7 @@ def quantile_table(
         F.sum(F.col("_n") * (F.col("_var") + apart)).alias("_squares")
     )
     sd = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))).alias("sd")
-    joined = join_on(join_on(whole, spread, keys, "left"), by_rank, keys, "left") if keys else whole.join(spread).join(by_rank, how="left")
+    joined = attach(attach(whole, spread, keys), by_rank, keys)
     return joined.select(*keys, "n", "mean", sd, "min", "max", *quantiles)
 
 
