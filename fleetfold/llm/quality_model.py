@@ -78,7 +78,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _totals(measured: DataFrame, of) -> dict[bool, np.ndarray]:
-    """Sum of ``of(rows)`` over all trusted rows and over all others, by one aggregation."""
+    """Sum of ``of(rows)`` over all trusted rows (True) and over all rows (False), by one aggregation.
+
+    A trusted document is unlabelled text as well, so its sums count in both.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[bool, np.ndarray] = {}
@@ -96,7 +99,10 @@ def _totals(measured: DataFrame, of) -> dict[bool, np.ndarray]:
     totals: dict[bool, dict[int, float]] = {}
     for r in parts.groupBy("trusted", "slot").agg(F.sum("value").alias("value")).collect():
         totals.setdefault(r.trusted, {})[r.slot] = r.value
-    return {flag: np.array([v[i] for i in range(len(v))]) for flag, v in totals.items()}
+    sums = {flag: np.array([v[i] for i in range(len(v))]) for flag, v in totals.items()}
+    if True in sums:
+        sums[False] = sums[True] + sums.get(False, 0.0)
+    return sums
 
 
 def risk_sums(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -164,11 +170,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Model | None:
     # the join sees measures, no texts
     rows = text.mapInArrow(_measured, "doc_id string, x array<double>")
     same = F.col("doc_id") == F.col("label_doc").cast("string")
-    once = stored(rows.join(keys, same, "left").select("x", F.coalesce("good", F.lit(False)).alias("good")))
-    # a trusted document is unlabelled text as well
-    measured = once.select(F.explode(F.when(F.col("good"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("trusted"), "x")
+    measured = stored(rows.join(keys, same, "left").select("x", F.coalesce("good", F.lit(False)).alias("trusted")))
     first = _totals(measured, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
-    if len(first) < 2:
+    if True not in first:
         return None
     d = (len(first[False]) - 1) // 2
     mean = first[False][1:] / first[False][0]
