@@ -11,7 +11,7 @@ from fleetfold.catalog.registry import query
 from fleetfold.config import Window
 from fleetfold.functions import calendar as cal
 from fleetfold.functions import columns as col
-from fleetfold.operators import calibrate, merge, reshape, trends
+from fleetfold.operators import calibrate, merge, ordering, reshape, trends
 
 
 @query(
@@ -397,11 +397,18 @@ def p28(spark, sf):
     )
 
 
-EXTRAPOLATION_SQL = """
+# a model is trained on the device hours of four days of five, and applied to all readings
+TRAINING_DAYS_SQL = """
+    SELECT date FROM (SELECT date, row_number() OVER (ORDER BY md5('123|' || CAST(date AS VARCHAR)))
+                               > floor(0.2 * count(*) OVER ()) AS training
+                      FROM (SELECT DISTINCT date FROM model_hours)) WHERE training"""
+
+EXTRAPOLATION_SQL = f"""
     SELECT r.event_id, r.monitor, pm25 IS NOT NULL AND (pm25 < lp OR pm25 > hp) AS out_pm25,
            met_temp < lt OR met_temp > ht AS out_met_temp
-    FROM readings r, (SELECT min(pm25) AS lp, max(pm25) AS hp, min(met_temp) AS lt,
-                             max(met_temp) AS ht FROM readings WHERE event_id % 50 = 1) t"""
+    FROM readings r, (SELECT min(mod_pm25) AS lp, max(mod_pm25) AS hp, min(mod_temp) AS lt,
+                             max(mod_temp) AS ht
+                      FROM model_hours WHERE date IN ({TRAINING_DAYS_SQL})) t"""
 
 
 @query(
@@ -417,7 +424,9 @@ def p29(spark, sf):
 def flagged(spark, sf):
     df = fx.readings(spark, sf)
     names = ["pm25", "met_temp"]
-    ranges = trends.training_ranges(df.where(F.col("event_id") % 50 == 1), names)
+    hours = fx.model_hours(spark, sf).select("date", F.col("mod_pm25").alias("pm25"), F.col("mod_temp").alias("met_temp"))
+    train = ordering.day_block_split(hours, "date").where(F.col("split_day_block") == "train")
+    ranges = trends.training_ranges(train, names)
     return trends.flag_extrapolation(df, ranges, names)
 
 

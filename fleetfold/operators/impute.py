@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfold.operators.merge import full_calendar, on_calendar
@@ -58,16 +58,22 @@ def tune_min_others(
         F.count(F.lit(1)).alias("n"),
         F.sum(miss * miss).alias("sse"),
         F.sum(F.abs(miss)).alias("sae"),
-        F.sum(y).alias("sy"),
-        F.sum(y * y).alias("syy"),
+        F.avg(y).alias("center"),
+        F.coalesce(F.regr_syy(y, y), F.lit(0.0)).alias("within"),
     )
     allowed = F.filter(
         F.array(*[F.lit(c) for c in candidates]), lambda c: c <= F.col("n_reporting") - 1
     )
+    # squares about the common mean, so that large values do not cancel
+    same = Window.partitionBy("min_active")
+    weighed = F.sum(F.col("n") * F.col("center")).over(same) / F.sum("n").over(same)
+    off = F.col("center") - F.col("mean")
     sums = (
         by_size.withColumn("min_active", F.explode(allowed))
+        .withColumn("mean", weighed)
+        .withColumn("syy", F.col("within") + F.col("n") * off * off)
         .groupBy("min_active")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sae", "sy", "syy")])
+        .agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sae", "syy")])
     )
     n = F.col("n")
     return sums.select(
@@ -75,7 +81,7 @@ def tune_min_others(
         F.sqrt(F.col("sse") / n).alias("rmse"),
         (F.col("sae") / n).alias("mae"),
         (
-            1 - F.try_divide(F.col("sse"), F.col("syy") - F.col("sy") * F.col("sy") / n)
+            1 - F.try_divide(F.col("sse"), F.col("syy"))
         ).alias("r2"),
     )
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.config import RollupRules, settings_from_mapping
 from fleetfold.functions import columns as col
-from fleetfold.operators import calibrate, impute, merge, rollup
+from fleetfold.operators import calibrate, impute, merge, rollup, trends
 from fleetfold.operators.calibrate import CALIBRATION_SCHEMA
 from fleetfold.sources import logs
 
@@ -282,3 +283,25 @@ def test_significant_digits(spark):
     assert got == pytest.approx([123000.0, 0.00123, 0.0, -98.8])
     assert not any(math.isnan(v) for v in got)
     assert np.isfinite(got).all()
+
+
+def test_tuning_errors_do_not_depend_on_an_offset(spark):
+    rng = random.Random(4)
+    rows = [(t, m, rng.gauss(0, 1) + t % 5) for t in range(40) for m in range(2 + t % 6)]
+    errors = []
+    for offset in (0.0, 1e8):
+        df = spark.createDataFrame([(t, m, v + offset) for t, m, v in rows], "timestamp int, monitor int, v double")
+        errors.append({r.min_active: (r.rmse, r.mae, r.r2) for r in impute.tune_min_others(df, "v", [1, 2, 4]).collect()})
+    assert errors[0].keys() == errors[1].keys() == {1, 2, 4}
+    for active in errors[0]:
+        assert errors[1][active] == pytest.approx(errors[0][active], rel=1e-5)
+
+
+def test_extrapolation_is_judged_by_the_training_rows(spark):
+    train = spark.createDataFrame([(1.0, 5.0), (3.0, None), (2.0, 9.0)], "a double, b double")
+    rows = spark.createDataFrame([(1, 1.0, 9.0), (2, 0.9, 6.0), (3, 3.1, 9.1), (4, 2.0, 4.0)], "key int, a double, b double")
+    flagged = trends.flag_extrapolation(rows, trends.training_ranges(train, ["a", "b"]), ["a", "b"])
+    found = {r.key: (r.out_a, r.out_b, r.any_extrapolation) for r in flagged.collect()}
+    assert found == {1: (False, False, False), 2: (True, False, True), 3: (True, True, True), 4: (False, True, True)}
+    share = trends.extrapolation_share(flagged, ["a", "b"]).first()
+    assert (share.n, share.pct_any_extrapolation, share.pct_out_a, share.pct_out_b) == (4, 75.0, 50.0, 50.0)
