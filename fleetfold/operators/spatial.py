@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.distributions import normal_upper_pvalue
 from fleetfold.operators.ordering import attach, top_per_key
-from fleetfold.session import cut_lineage
+from fleetfold.session import cut_lineage, settle
 
 LEVELS = 20
 GRID_SHIFT = 0.3819660113
+# what rounding may add to a distance, as a share of the size of the grids; far below any cell
+ROUNDING = 1e-9
 
 
 def _grid(x0: Column, x1: Column, y0: Column, y1: Column, spreads: float) -> Column:
@@ -238,11 +240,19 @@ def _extent(points: DataFrame, segments: DataFrame, x: str, y: str) -> DataFrame
     return ends.agg(_grid(F.min("x"), F.max("x"), F.min("y"), F.max("y"), 2.0))
 
 
-def _register(segments: DataFrame, extent: DataFrame, levels: int) -> DataFrame:
+def _places(points: DataFrame, x: str, y: str) -> DataFrame:
+    """The different locations: points that share one share its search."""
+    return points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).distinct()
+
+
+def _register(
+    segments: DataFrame, extent: DataFrame, levels: int, reach: Column | None = None
+) -> DataFrame:
     """Enter each segment, by bounding box, in the cells of its own level and of all coarser ones.
 
     Its own level is the finest with cells larger than the segment, so it meets at most four
     cells of a level. ``_own`` rows are looked up from finer levels, the others from their own.
+    Where all points have the same ``reach``, one level finds a segment and it is entered there only.
     """
     width = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     natural = attach(segments, extent, []).withColumn(
@@ -250,13 +260,23 @@ def _register(segments: DataFrame, extent: DataFrame, levels: int) -> DataFrame:
     )
     level, size = F.col("_level"), F.col("_extent")
 
+    def entry(at: Column, own: Column) -> Column:
+        return F.struct(at.alias("_level"), own.alias("_own"))
+
+    if reach is None:
+        coarser = F.transform(F.sequence(F.lit(0), "_natural"), lambda at: entry(at, F.lit(False)))
+        entries = F.concat(coarser, F.array(entry(F.col("_natural"), F.lit(True))))
+    else:
+        finest = _level_for(reach, size, levels)
+        entries = F.array(entry(F.least("_natural", finest), F.col("_natural") < finest))
+
     def cells(a: str, b: str, axis: str) -> Column:
         return F.sequence(
             _cell(F.least(a, b), level, size, axis), _cell(F.greatest(a, b), level, size, axis)
         )
 
     return (
-        natural.withColumn("_level", F.explode(F.sequence(F.lit(0), "_natural")))
+        natural.select("*", F.inline(entries))
         .withColumns(
             {
                 "_minx": _cell(F.least("x1", "x2"), level, size, "x"),
@@ -265,47 +285,43 @@ def _register(segments: DataFrame, extent: DataFrame, levels: int) -> DataFrame:
         )
         .withColumn("_cx", F.explode(cells("x1", "x2", "x")))
         .withColumn("_cy", F.explode(cells("y1", "y2", "y")))
-        .withColumn(
-            "_own",
-            F.explode(
-                F.when(
-                    level == F.col("_natural"), F.array(F.lit(True), F.lit(False))
-                ).otherwise(F.array(F.lit(False)))
-            ),
-        )
         .drop("_natural", "_extent")
     )
 
 
-def _near(points: DataFrame, registered: DataFrame, levels: int) -> DataFrame:
-    """Pairs of points (_px, _py, _reach, _extent) and segments that may be within ``_reach``.
-
-    Every pair comes once: it is reported in the first cell the segment shares with the block.
-    """
+def _probes(places: DataFrame, levels: int) -> DataFrame:
+    """The cells, three by three at most, that a place (_px, _py, _reach, _extent) can reach."""
     size, level = F.col("_extent"), F.col("_level")
-    finest = _level_for(F.col("_reach"), size, levels)
-    probes = (
-        points.withColumn("_finest", finest)
+    span = F.col("_reach") + ROUNDING * size["size"]
+
+    def ends(at: str, axis: str) -> tuple[Column, Column]:
+        # beyond the coarsest cells there is nothing, however far the reach
+        at, here = F.col(at), _cell(at, level, size, axis)
+        low = F.greatest(_cell(at - span, level, size, axis), here - 1)
+        return low, F.least(_cell(at + span, level, size, axis), here + 1)
+
+    (left, right), (bottom, top) = ends("_px", "x"), ends("_py", "y")
+    return (
+        places.withColumn("_finest", _level_for(F.col("_reach"), size, levels))
         .withColumn("_level", F.explode(F.sequence(F.lit(0), "_finest")))
-        .withColumns(
-            {
-                "_pcx": _cell("_px", level, size, "x"),
-                "_pcy": _cell("_py", level, size, "y"),
-                "_own": level < F.col("_finest"),
-            }
-        )
-        .withColumn("_o", F.explode(_offsets(1)))
-        .withColumns(
-            {"_cx": F.col("_pcx") + F.col("_o.i"), "_cy": F.col("_pcy") + F.col("_o.j")}
-        )
-        .drop("_o", "_finest", "_extent")
+        .withColumns({"_lowx": left, "_lowy": bottom, "_own": level < F.col("_finest")})
+        .withColumn("_cx", F.explode(F.sequence("_lowx", right)))
+        .withColumn("_cy", F.explode(F.sequence("_lowy", top)))
+        .drop("_finest", "_extent")
     )
-    cell = ["_level", "_cx", "_cy", "_own"]
-    reachable = registered.join(probes.select(*cell).distinct(), cell, "left_semi")
-    first = (F.col("_cx") == F.greatest(F.col("_minx"), F.col("_pcx") - 1)) & (
-        F.col("_cy") == F.greatest(F.col("_miny"), F.col("_pcy") - 1)
+
+
+def _near(probes: DataFrame, registered: DataFrame) -> DataFrame:
+    """Pairs of places and segments that may be within reach of each other.
+
+    Every pair comes once: it is reported in the first cell the segment shares with the block.
+    Both sides are many times what Spark takes them for, which does not count exploded rows, and
+    no executor or driver could hold them: they are merged.
+    """
+    first = (F.col("_cx") == F.greatest("_minx", "_lowx")) & (
+        F.col("_cy") == F.greatest("_miny", "_lowy")
     )
-    return probes.join(reachable, cell).where(first)
+    return probes.join(registered.hint("merge"), ["_level", "_cx", "_cy", "_own"]).where(first)
 
 
 def nearest_segment(
@@ -319,14 +335,13 @@ def nearest_segment(
 ) -> DataFrame:
     """Nearest road segment of every point, its distance and the attributes ``keep``.
 
-    One representative segment per cell gives each point an upper bound of its distance; the
-    exact search then looks only as far as that bound.
+    One representative segment per cell gives each place an upper bound of its distance; the
+    exact search then looks only as far as that bound. Of equal segments the one with the smallest
+    attributes stands for all.
     """
     extent = _extent(points, segments, x, y)
-    registered = _register(segments.select(*SEGMENT, *keep), extent, levels)
-    at = attach(
-        points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py")), extent, []
-    )
+    shapes = segments.groupBy(*SEGMENT).agg(F.min(F.struct(*keep)).alias("_keep"))
+    registered = _register(shapes, extent, levels)
     samples = (
         registered.where(~F.col("_own"))
         .groupBy("_level", "_cx", "_cy")
@@ -335,22 +350,29 @@ def nearest_segment(
     )
     level, size = F.col("_level"), F.col("_extent")
     bounds = (
-        at.withColumn("_level", F.explode(_level_list(levels)))
+        attach(_places(points, x, y), extent, [])
+        .withColumn("_level", F.explode(_level_list(levels)))
         .withColumns({"_cx": _cell("_px", level, size, "x"), "_cy": _cell("_py", level, size, "y")})
-        .join(samples, ["_level", "_cx", "_cy"], "left")
-        .groupBy(key, "_px", "_py", "_extent")
+        .join(samples.hint("merge"), ["_level", "_cx", "_cy"], "left")
+        .groupBy("_px", "_py", "_extent")
         .agg(F.min(segment_distance("_px", "_py")).alias("_reach"))
         .withColumn("_reach", F.coalesce("_reach", "_extent.size"))
     )
+    probes = _probes(settle(bounds), levels)
+    # of the coarser entries only those in a cell where some place ends its search are wanted
+    ended = settle(probes.where(~F.col("_own")).select("_level", "_cx", "_cy").distinct())
+    wanted = registered.where(~F.col("_own")).join(ended, ["_level", "_cx", "_cy"], "left_semi")
+    near = _near(probes, registered.where("_own").unionByName(wanted))
     # distances that agree to twelve decimals are ties, decided by the attributes in ``keep``
-    distance = F.round(segment_distance("_px", "_py"), 12)
+    found = F.struct(F.round(segment_distance("_px", "_py"), 12).alias("distance"), "_keep")
+    by_place = near.groupBy("_px", "_py").agg(F.min(found).alias("_best"))
     best = (
-        _near(bounds, registered, levels)
-        .select(key, distance.alias("distance"), *keep)
+        points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py"))
+        .join(by_place, ["_px", "_py"])
         .groupBy(key)
-        .agg(F.min(F.struct("distance", *keep)).alias("_best"))
+        .agg(F.min("_best").alias("_best"))
         .select(key, F.col("_best.distance").alias("distance_to_road"),
-                *[F.col(f"_best.{c}").alias(c) for c in keep])
+                *[F.col(f"_best._keep.{c}").alias(c) for c in keep])
     )
     return points.join(best, key, "left")
 
@@ -364,23 +386,26 @@ def road_length_within(
     y: str = "y",
     levels: int = LEVELS,
 ) -> DataFrame:
-    """Length of road inside the circle around every point, 0 where there is none."""
+    """Length of road inside the circle around every point, 0 where there is none.
+
+    Each different place meets each different segment near it once; equal segments are counted.
+    """
     extent = _extent(points, segments, x, y)
-    registered = _register(segments.select(*SEGMENT), extent, levels)
-    at = attach(
-        points.select(
-            key,
-            F.col(x).alias("_px"),
-            F.col(y).alias("_py"),
-            F.lit(float(radius)).alias("_reach"),
-        ),
-        extent,
-        [],
+    reach = F.lit(float(radius))
+    shapes = segments.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_copies"))
+    registered = _register(shapes, extent, levels, reach)
+    places = attach(_places(points, x, y).withColumn("_reach", reach), extent, [])
+    inside = segment_length_inside("_px", "_py", F.col("_reach")) * F.col("_copies")
+    by_place = (
+        _near(_probes(places, levels), registered)
+        .groupBy("_px", "_py")
+        .agg(F.sum(inside).alias("_length"))
     )
     lengths = (
-        _near(at, registered, levels)
+        points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py"))
+        .join(by_place, ["_px", "_py"])
         .groupBy(key)
-        .agg(F.sum(segment_length_inside("_px", "_py", F.col("_reach"))).alias("total_length"))
+        .agg(F.sum("_length").alias("total_length"))
     )
     return points.join(lengths, key, "left").withColumn(
         "total_length", F.coalesce("total_length", F.lit(0.0))
