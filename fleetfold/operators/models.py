@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from fleetfold.functions.calendar import dry_season_flag, hour_angle
 from fleetfold.functions.columns import clamp_at_zero, guarded_ratio
+from fleetfold.functions.distributions import t_two_sided
 from fleetfold.functions.mixture import (
     Mixture,
     conditional_mean,
@@ -35,7 +36,7 @@ from fleetfold.operators.merge import combine_channels, stack_batches, valid_sin
 from fleetfold.operators.mixtures import ROUNDS, fit_mixtures
 from fleetfold.operators.ordering import day_block_split, day_fold, row_ids
 from fleetfold.operators.stats import error_metrics
-from fleetfold.session import cut_lineage
+from fleetfold.session import cut_lineage, settle
 
 HOUR_KEYS = ["monitor", "date", "hour"]
 SIMPLE_PREDICTORS = ("mod_pm25", "mod_temp", "mod_rh")
@@ -270,27 +271,74 @@ def compare_models(
     return metrics.select(*keys, "model", "rmse", "mae", "r2")
 
 
-def log_linear_fit(df: DataFrame, target: str, predictors: Mapping[str, Column]) -> DataFrame:
-    """log(target) on the given columns by least squares, with standard errors and p-values."""
-    ready = df.where(F.col(target) > 0).select(
-        F.log(target).alias("_y"), *[c.cast("double").alias(n) for n, c in predictors.items()]
-    ).dropna()
-    assembled = VectorAssembler(inputCols=list(predictors), outputCol="features").transform(ready)
-    fit = LinearRegression(
-        featuresCol="features", labelCol="_y", solver="normal", standardization=False
-    ).fit(assembled)
-    summary = fit.summary
-    estimates = [*[float(c) for c in fit.coefficients], float(fit.intercept)]
-    rows = list(
-        zip(
-            [*predictors, "(intercept)"],
-            estimates,
-            summary.coefficientStandardErrors,
-            summary.tValues,
-            summary.pValues,
-            [float(summary.r2)] * len(estimates),
+def independent_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that are no constant and no linear function of the ones before them.
+
+    Found on the covariances, which one pass over the rows gives.
+    """
+    names = list(columns)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    row = df.agg(
+        *[F.avg(c) for c in names], *[F.covar_pop(names[i], names[j]) for i, j in pairs]
+    ).first()
+    if row[0] is None:
+        return []
+    means, covariance = np.array(row[: len(names)]), np.zeros((len(names), len(names)))
+    for (i, j), value in zip(pairs, row[len(names) :]):
+        covariance[i, j] = covariance[j, i] = value
+    spread = np.sqrt(np.diag(covariance))
+    kept: list[int] = []
+    for i in range(len(names)):
+        if not spread[i] > 1e-7 * abs(means[i]):
+            continue
+        correlation = covariance[np.ix_([*kept, i], [*kept, i])] / np.outer(
+            spread[[*kept, i]], spread[[*kept, i]]
         )
+        cross = correlation[:-1, -1]
+        explained = cross @ np.linalg.solve(correlation[:-1, :-1], cross)
+        if 1 - explained > 1e-12:
+            kept.append(i)
+    return [names[i] for i in kept]
+
+
+def log_linear_fit(df: DataFrame, target: str, predictors: Mapping[str, Column]) -> DataFrame:
+    """log(target) on the given columns by least squares, with standard errors and p-values.
+
+    Predictors that are constant or depend on the ones before them have no coefficient of their
+    own: they are left out of the fit and their row is null, as in R's ``lm``. Errors and p-values
+    are null where no rows are left to estimate them from or the target does not vary.
+    """
+    # the rows are read three times: find them once
+    ready = settle(
+        df.where(F.col(target) > 0).select(
+            F.log(target).alias("_y"), *[c.cast("double").alias(n) for n, c in predictors.items()]
+        ).dropna()
     )
+    names = independent_columns(ready, list(predictors))
+    n, mean, sd = ready.agg(F.count("_y"), F.avg("_y"), F.stddev_samp("_y")).first()
+    found: dict[str, tuple] = {}
+    r2 = None
+    if names:
+        assembled = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
+        fit = LinearRegression(
+            featuresCol="features", labelCol="_y", solver="normal", standardization=False
+        ).fit(assembled)
+        terms, estimates = [*names, "(intercept)"], [*map(float, fit.coefficients), float(fit.intercept)]
+        if n > len(terms) and sd > 0:
+            summary = fit.summary
+            errors = zip(summary.coefficientStandardErrors, summary.tValues, summary.pValues)
+            found = {term: (e, *rest) for term, e, rest in zip(terms, estimates, errors)}
+        else:
+            found = {term: (e, None, None, None) for term, e in zip(terms, estimates)}
+        r2 = float(fit.summary.r2) if sd > 0 else None
+    elif n > 1 and sd > 0:
+        error = sd / math.sqrt(n)
+        found, r2 = {"(intercept)": (mean, error, mean / error, t_two_sided(mean / error, n - 1))}, 0.0
+    elif n:
+        found = {"(intercept)": (mean, None, None, None)}
+    rows = [
+        (term, *found.get(term, (None, None, None, None)), r2) for term in [*predictors, "(intercept)"]
+    ]
     return df.sparkSession.createDataFrame(
         rows,
         "term string, estimate double, std_error double, t double, p_value double, r2 double",
