@@ -46,3 +46,25 @@ def test_nearest_road_is_merged_however_small_its_input(crowd, tmp_path):
     plan = spatial.nearest_segment(points, roads)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"BroadcastHashJoin \[_level#\w+, _cx#\w+, _cy#\w+, _own#\w+\]", plan)
     assert re.search(r"SortMergeJoin \[_level#\w+, _cx#\w+, _cy#\w+, _own#\w+\]", plan)
+
+
+def test_road_length_at_crowded_places(spark, crowd, pairs):
+    points, roads = crowd
+    twice = points.union(spark.createDataFrame([("apart", 3.0, 1.0), (None, 1.0, 1.0), ("lost", None, 1.0)], POINTS))
+    rows = spatial.road_length_within(twice, roads, 0.5).collect()
+    found = {r.monitor: r.total_length for r in rows}
+    assert len(rows) == 34
+    # 40 copies of 0.2 and one of 0.03; a key that comes twice counts the roads of both its rows
+    assert {round(found[f"m{i:02d}"], 9) for i in range(30)} == {8.03}
+    assert found["apart"] == pytest.approx(2 * 2 * (0.25 - 0.01) ** 0.5)
+    assert found[None] == found["lost"] == 0
+    assert pairs[0].count() < 10
+
+
+def test_one_reach_enters_a_segment_at_one_level(spark, crowd):
+    extent = spatial._extent(*crowd, "x", "y")
+    shapes = crowd[1].select(*spatial.SEGMENT).distinct()
+    entries = spatial._register(shapes, extent, spatial.LEVELS, F.lit(0.05))
+    per_shape = entries.groupBy(*spatial.SEGMENT).agg(F.countDistinct("_level").alias("levels"), F.count("*").alias("n"))
+    assert [r.levels for r in per_shape.collect()] == [1, 1, 1]
+    assert per_shape.where("n > 4").isEmpty()
